@@ -13,25 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerfold.functions.text import json_as_number, json_string, number_text
+
 #: lsns per block of a key's history: what one window partition or task can get of a single key is at most so many changes.
 BLOCK_BITS = 16
-#: Text that reads as a number: a JSON number, or the inside of a JSON string that a number parser accepts.
-_JSON_NUMBER = r"^\s*-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?\s*$"
-_READS_AS_NUMBER = r"^\s*[+-]?([0-9]+(_[0-9]+)*\.?([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+(_[0-9]+)*)?\s*$"
-
 #: What a key can be before a block: absent, live with a number, live with something else.
 _STATES = ("a", "n", "x")
 
 
-def json_as_number(value: Column) -> Column:
-    """The double that a JSON text reads as: a number, or a string that holds one. Else, and for NULL, NULL."""
-    inner = F.regexp_extract(value, r'^\s*"(.*)"\s*$', 1)
-    return F.coalesce(
-        F.when(value.rlike(_JSON_NUMBER), F.trim(value).try_cast("double")),
-        F.when(inner.rlike(_READS_AS_NUMBER), F.regexp_replace(F.trim(inner), "_", "").try_cast("double")),
-    )
-
-
 def transactions(changes: DataFrame, after: int = 0, upto: int | None = None) -> DataFrame:
     """One row per transaction: the first delivered copy of each lsn in ``(after, upto]``.
 
@@ -76,8 +65,11 @@ def writes(txns: DataFrame) -> DataFrame:
     one = txns.where(F.col("op").isin("create", "update", "delete", "incr")).select(
         "key", "lsn", "op", F.when(F.col("op") != "incr", F.col("value")).alias("value"), F.when(F.col("op") == "incr", F.coalesce("delta", json_as_number(F.col("value")), F.lit(1.0))).alias("delta")
     )
-    items = txns.where(F.col("op") == "mset").select("lsn", F.explode(F.expr("cast(try_parse_json(key) as map<string, variant>)")).alias("key", "v"))
-    many = items.select("key", "lsn", F.lit("create").alias("op"), F.coalesce(F.expr("to_json(v)"), F.lit("null")).alias("value"), F.lit(None).cast("double").alias("delta"))
+    # The map's values as text in their own spelling; the variant tells strings from the rest.
+    maps = txns.where(F.col("op") == "mset").select("lsn", F.from_json("key", "map<string, string>").alias("m"), F.expr("cast(try_parse_json(key) as map<string, variant>)").alias("v")).where("v IS NOT NULL")
+    items = maps.select("lsn", "v", F.explode("m").alias("key", "text"))
+    value = F.when(F.col("text").isNull(), "null").when(F.expr("schema_of_variant(v[key]) = 'STRING'"), json_string(F.col("text"))).otherwise(F.col("text"))
+    many = items.select("key", "lsn", F.lit("create").alias("op"), value.alias("value"), F.lit(None).cast("double").alias("delta"))
     return one.unionByName(many).where(F.col("key").isNotNull()).withColumn("num", json_as_number(F.col("value")))
 
 
@@ -155,4 +147,4 @@ def replay(snapshot: DataFrame, changes: DataFrame, upto: int | None = None, blo
     blank = F.struct(F.lit("a").alias("kind"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("double").alias("num"), F.lit(None).cast("long").alias("lsn"))
     names = [f"{n}_{s}" for s in _STATES for n in ("lsn", "base", "step")]
     state = parts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("block", *names))).alias("b")).select("key", F.aggregate("b", blank, step).alias("s"))
-    return state.where(F.col("s.kind") != "a").select("key", F.coalesce("s.value", F.col("s.num").cast("string")).alias("value"), F.col("s.lsn").alias("lsn"))
+    return state.where(F.col("s.kind") != "a").select("key", F.coalesce("s.value", number_text(F.col("s.num"))).alias("value"), F.col("s.lsn").alias("lsn"))

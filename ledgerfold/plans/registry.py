@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerfold.plans import problems
+from ledgerfold.plans import problems, store
 
-_MODULES = (problems,)
+_MODULES = (problems, store)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
-FLAGSHIP = "p5_found"
+FLAGSHIP = "kv_final_state"
