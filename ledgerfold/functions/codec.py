@@ -10,6 +10,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ledgerfold.functions.text import json_string, normalize_prompt
 
@@ -37,7 +38,7 @@ def cache_key(canonical: Column) -> Column:
     return F.sha2(canonical, 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def any_canonical(prompt: pd.Series, model: pd.Series, version: pd.Series, params: pd.Series) -> pd.Series:
     """Canonical request text for arbitrary parameters, given as a JSON object; ``prompt`` as normalised. NULL where the object is none."""
 
@@ -53,12 +54,12 @@ def any_canonical(prompt: pd.Series, model: pd.Series, version: pd.Series, param
     return pd.Series([one(*r) for r in zip(prompt, model, version, params, strict=True)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _deflate(value: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else MARK + base64.b64encode(zlib.compress(v.encode("utf-8"))).decode("ascii") for v in value], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _inflate(value: pd.Series) -> pd.Series:
     def one(v):
         try:

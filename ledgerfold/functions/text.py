@@ -33,8 +33,14 @@ def number_text(x: Column) -> Column:
 
 
 def json_string(text: Column) -> Column:
-    """A text as a JSON string literal, non-ASCII characters as they are."""
-    return F.regexp_extract(F.to_json(F.struct(text.alias("a"))), r"(?s)^\{\"a\":(.*)\}$", 1)
+    """A text as a JSON string literal, non-ASCII characters as they are; NULL for NULL."""
+    wrapped = F.to_json(F.struct(text.alias("a")))
+    return F.when(text.isNotNull(), F.substr(wrapped, F.lit(6), F.char_length(wrapped) - 6))
+
+
+def base64_text(data: Column) -> Column:
+    """Base64 of binary data on one line."""
+    return F.regexp_replace(F.base64(data), "\r\n", "")
 
 
 def reply_simple(text: Column) -> Column:

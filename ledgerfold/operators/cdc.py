@@ -63,10 +63,10 @@ def writes(txns: DataFrame) -> DataFrame:
     ``value``; without either it is 1. Unknown operations and NULL keys are dropped.
     """
     one = txns.where(F.col("op").isin("create", "update", "delete", "incr")).select(
-        "key", "lsn", "op", F.when(F.col("op") != "incr", F.col("value")).alias("value"), F.when(F.col("op") == "incr", F.coalesce("delta", json_as_number(F.col("value")), F.lit(1.0))).alias("delta")
+        "key", "lsn", "op", F.when(F.col("op").isin("create", "update"), F.coalesce("value", F.lit("null"))).alias("value"), F.when(F.col("op") == "incr", F.coalesce("delta", json_as_number(F.col("value")), F.lit(1.0))).alias("delta")
     )
     # The map's values as text in their own spelling; the variant tells strings from the rest.
-    maps = txns.where(F.col("op") == "mset").select("lsn", F.from_json("key", "map<string, string>").alias("m"), F.expr("cast(try_parse_json(key) as map<string, variant>)").alias("v")).where("v IS NOT NULL")
+    maps = txns.where(F.col("op") == "mset").select("lsn", F.from_json("key", "map<string, string>").alias("m"), F.expr("try_variant_get(try_parse_json(key), '$', 'map<string, variant>')").alias("v")).where("v IS NOT NULL")
     items = maps.select("lsn", "v", F.explode("m").alias("key", "text"))
     value = F.when(F.col("text").isNull(), "null").when(F.expr("schema_of_variant(v[key]) = 'STRING'"), json_string(F.col("text"))).otherwise(F.col("text"))
     many = items.select("key", "lsn", F.lit("create").alias("op"), value.alias("value"), F.lit(None).cast("double").alias("delta"))
@@ -126,7 +126,6 @@ def replay(snapshot: DataFrame, changes: DataFrame, upto: int | None = None, blo
     base = F.struct(F.when(F.col("num").isNotNull(), "n").otherwise("x").alias("kind"), "value", "num")
     first = held.withColumn("num", json_as_number(F.col("value"))).select("key", F.lit(-1).cast("long").alias("block"), *[c for s in _STATES for c in (F.lit(start).cast("long").alias(f"lsn_{s}"), base.alias(f"base_{s}"), F.lit(None).cast("double").alias(f"step_{s}"))])
     w = writes(transactions(changes, start, upto))
-    w = w.withColumn("value", F.when(F.col("op").isin("create", "update"), F.coalesce("value", F.lit("null"))))
     parts = first.unionByName(_fold_blocks(w, block_bits))
 
     def step(acc: Column, b: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerfold.functions.text import base64_text
 from ledgerfold.runtime import SharedFiles
 
 OBJECT = "object_id STRING, key STRING, stored_at DOUBLE, ttl_remaining DOUBLE, kind STRING, value STRING, part STRING"
@@ -13,7 +14,7 @@ OBJECT = "object_id STRING, key STRING, stored_at DOUBLE, ttl_remaining DOUBLE,
 def as_objects(rows: DataFrame, now: Column) -> DataFrame:
     """Objects of ``rows`` (``key, value, ttl``; ``value`` text or binary): expired ones make none, bytes travel as base64."""
     binary = dict(rows.dtypes)["value"] == "binary"
-    value = F.base64("value") if binary else F.col("value")
+    value = base64_text(F.col("value")) if binary else F.col("value")
     kept = rows.where("ttl IS NULL OR ttl > 0")
     made = kept.select(F.sha2("key", 256).alias("object_id"), "key", now.alias("stored_at"), F.col("ttl").alias("ttl_remaining"), F.lit("bytes" if binary else "text").alias("kind"), value.alias("value"))
     return made.withColumn("part", F.substring("object_id", 1, 2))
