@@ -89,7 +89,7 @@ def cache_counts(lookups: DataFrame, stores: DataFrame) -> DataFrame:
 
 def label(text: Column) -> Column:
     """A label's value with its quotes escaped."""
-    return F.regexp_replace(text, '"', '\\\\\\\\"')
+    return F.replace(text, F.lit('"'), F.lit('\\"'))
 
 
 def exposition(log: DataFrame, prefix: str = "kv") -> DataFrame:
