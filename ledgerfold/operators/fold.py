@@ -11,27 +11,60 @@ absent key at 0), ``read``, ``flush`` with a NULL key (empties the store).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: lsns per block.
 BLOCK_BITS = 20
+#: Flushes that one fold takes; each makes the keys after it new ones.
+MOST_FLUSHES = 1000
 
 
-def _marked(ops: DataFrame, block_bits: int) -> DataFrame:
-    op = F.col("op")
-    sets = F.when(op.isin("create", "incr", "put"), True).when(op == "delete", False)
-    w = Window.partitionBy("key", "block").orderBy("lsn").rowsBetween(Window.unboundedPreceding, -1)
-    return ops.withColumn("block", F.shiftright("lsn", block_bits)).withColumn("sets", sets).withColumn("was", F.last("sets", ignorenulls=True).over(w))
+def _sets() -> Column:
+    """Whether a command leaves its key there, whatever was before; NULL if that depends."""
+    return F.when(F.col("op").isin("create", "incr", "put"), True).when(F.col("op") == "delete", False)
 
 
-def _effects(rows: DataFrame) -> DataFrame:
-    """Adds ``accepted``, ``resets`` (what the key held before no longer counts) and ``adds``, given ``live``."""
+def _prepared(ops: DataFrame, block_bits: int) -> tuple[DataFrame, bool]:
+    made = ["live", "accepted", "live_after", "value_after", "block", "sets", "resets", "adds"]
+    ops = ops.drop(*[c for c in made if c in ops.columns])
+    epochs = [r[0] for r in ops.where("op = 'flush'").select("lsn").orderBy("lsn").limit(MOST_FLUSHES + 1).collect()]
+    if len(epochs) > MOST_FLUSHES:
+        raise ValueError(f"more than {MOST_FLUSHES} flushes in one fold; fold the log in parts")
+    known = ops.where(F.col("key").isNotNull() & F.col("op").isin("create", "update", "put", "delete", "incr", "read")).withColumn("value", F.coalesce(F.col("value").cast("double"), F.lit(0.0)))
+    if epochs:  # keys of different epochs have nothing to do with each other
+        epoch = F.size(F.filter(F.array(*map(F.lit, epochs)), lambda x: x < F.col("lsn")))
+        known = known.withColumn("key", F.struct(epoch.alias("e"), F.col("key").alias("k")))
+    return known.withColumn("block", F.shiftright("lsn", block_bits)).withColumn("sets", _sets()), bool(epochs)
+
+
+def _in_blocks(known: DataFrame) -> DataFrame:
+    """Commands with ``live, accepted``, the ``epoch`` that they are in since the block began, and ``inside``, what the epoch has added up to.
+
+    Whether a key is there when a block begins follows from the last telling
+    command of each block before: an aggregate that is combined before its shuffle, then a window over blocks.
+    """
+    ends = known.groupBy("key", "block").agg(F.max_by("sets", F.when(F.col("sets").isNotNull(), F.col("lsn"))).alias("ends"))
+    before = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("key", "block", F.coalesce(F.last("ends", ignorenulls=True).over(before), F.lit(False)).alias("live_in"))
+    order = Window.partitionBy("key", "block").orderBy("lsn")
+    was = F.last("sets", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     op, live = F.col("op"), F.col("live")
-    accepted = F.when(op == "create", ~live).when(op.isin("put", "incr"), True).otherwise(live)
-    rows = rows.withColumn("accepted", accepted)
+    rows = known.join(carried.hint("shuffle_hash"), ["key", "block"]).withColumn("live", F.coalesce(was, "live_in"))
+    rows = rows.withColumn("accepted", F.when(op == "create", ~live).when(op.isin("put", "incr"), True).otherwise(live))
     resets = F.col("accepted") & (op.isin("create", "update", "put", "delete") | ((op == "incr") & ~live))
+    rows = rows.withColumn("epoch", F.sum(resets.cast("int")).over(order))
     adds = F.when(F.col("accepted") & op.isin("create", "update", "put", "incr"), F.col("value")).otherwise(0.0)
-    return rows.withColumn("resets", resets.cast("int")).withColumn("adds", adds)
+    rows = rows.withColumn("inside", F.sum(adds).over(Window.partitionBy("key", "block", "epoch").orderBy("lsn")))
+    return rows.withColumn("live_after", F.coalesce("sets", "live"))
+
+
+def _per_block(rows: DataFrame) -> DataFrame:
+    """Per (key, block): ``epochs`` that began in it, what the last ``gives``, whether the key is there then, and its last accepted write; with ``ends_at``, what the key holds."""
+    wrote = F.when(F.col("accepted") & (F.col("op") != "read"), F.col("lsn"))
+    sums = rows.groupBy("key", "block").agg(F.max("epoch").alias("epochs"), F.max_by("inside", "lsn").alias("gives"), F.max_by("live_after", "lsn").alias("alive"), F.max(wrote).alias("wrote"))
+    spans = sums.withColumn("span", F.sum((F.col("epochs") > 0).cast("int")).over(Window.partitionBy("key").orderBy("block")))
+    return spans.withColumn("ends_at", F.sum("gives").over(Window.partitionBy("key", "span").orderBy("block")))
 
 
 def fold(ops: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
@@ -39,46 +72,29 @@ def fold(ops: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
 
     ``ops`` has ``lsn`` (unique), ``op``, ``key`` and ``value`` (double). ``live``
     tells whether the key was there before, ``value_after`` what it holds then
-    (NULL if nothing). Unknown operations are refused and change nothing. A NULL
-    key is refused, except for ``flush``; a NULL value of a write counts as 0. Columns named like results are replaced.
+    (NULL if nothing). Unknown operations and NULL keys are left out, a flush only acts; a
+    NULL value of a write counts as 0. Columns named like results are replaced.
     """
-    made = ["live", "accepted", "live_after", "value_after", "block", "sets", "was", "resets", "adds"]
-    ops = ops.drop(*[c for c in made if c in ops.columns])
-    flushes = ops.where("op = 'flush'").select("lsn")
-    epochs = [r[0] for r in flushes.orderBy("lsn").limit(1001).collect()]
-    if len(epochs) > 1000:
-        raise ValueError("more than 1000 flushes in one fold; fold the log in parts")
-    known = ops.where(F.col("key").isNotNull() & F.col("op").isin("create", "update", "put", "delete", "incr", "read")).withColumn("value", F.coalesce(F.col("value").cast("double"), F.lit(0.0)))
-    if epochs:  # keys of different epochs have nothing to do with each other
-        epoch = F.size(F.filter(F.array(*map(F.lit, epochs)), lambda x: x < F.col("lsn")))
-        known = known.withColumn("__key", F.col("key")).withColumn("key", F.struct(epoch.alias("e"), F.col("key").alias("k")))
-    marked = _marked(known, block_bits)
-    ends = marked.groupBy("key", "block").agg(F.max_by("sets", F.when(F.col("sets").isNotNull(), F.col("lsn"))).alias("ends"))
-    before = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select("key", "block", F.coalesce(F.last("ends", ignorenulls=True).over(before), F.lit(False)).alias("live_in"))
-    rows = _effects(marked.join(carried, ["key", "block"]).withColumn("live", F.coalesce("was", "live_in")))
-    order = Window.partitionBy("key", "block").orderBy("lsn")
-    rows = rows.withColumn("epoch", F.sum("resets").over(order))
-    rows = rows.withColumn("inside", F.sum("adds").over(Window.partitionBy("key", "block", "epoch").orderBy("lsn")))
-    sums = rows.groupBy("key", "block").agg(F.max("epoch").alias("epochs"), F.max_by("inside", "lsn").alias("gives"))
-    spans = sums.withColumn("span", F.sum((F.col("epochs") > 0).cast("int")).over(Window.partitionBy("key").orderBy("block")))
-    spans = spans.withColumn("ends_at", F.sum("gives").over(Window.partitionBy("key", "span").orderBy("block")))
-    spans = spans.select("key", "block", F.coalesce(F.lag("ends_at").over(Window.partitionBy("key").orderBy("block")), F.lit(0.0)).alias("value_in"))
-    done = rows.join(spans, ["key", "block"])
-    done = done.withColumn("live_after", F.coalesce("sets", "live"))
+    known, flushed = _prepared(ops, block_bits)
+    rows = _in_blocks(known)
+    before = F.lag("ends_at").over(Window.partitionBy("key").orderBy("block"))
+    spans = _per_block(rows).select("key", "block", F.coalesce(before, F.lit(0.0)).alias("value_in"))
+    done = rows.join(spans.hint("shuffle_hash"), ["key", "block"])
     done = done.withColumn("value_after", F.when(F.col("live_after"), F.col("inside") + F.when(F.col("epoch") == 0, F.col("value_in")).otherwise(0.0)))
-    done = done.drop("block", "sets", "was", "live_in", "resets", "adds", "epoch", "inside", "value_in")
-    return done.withColumn("key", F.col("__key")).drop("__key") if epochs else done
-
-
-def state(folded: DataFrame, flushed_at: int | None = None) -> DataFrame:
-    """Live keys ``(key, value, lsn)`` after the log: ``lsn`` is that of the key's last accepted write. ``flushed_at`` bounds it from below."""
-    rows = folded if flushed_at is None else folded.where(F.col("lsn") > flushed_at)
-    last = rows.groupBy("key").agg(
-        F.max_by(F.struct("live_after", "value_after"), "lsn").alias("s"),
-        F.max(F.when(F.col("accepted") & (F.col("op") != "read"), F.col("lsn"))).alias("lsn"),
-    )
-    return last.where("s.live_after").select("key", F.col("s.value_after").alias("value"), "lsn")
+    done = done.drop("block", "sets", "live_in", "epoch", "inside", "value_in")
+    return done.withColumn("key", F.col("key.k")) if flushed else done
+
+
+def state(ops: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
+    """Live keys ``(key, value, lsn)`` after the log; ``lsn`` is that of the key's last accepted write. Same input as :func:`fold`, but commands are read once."""
+    known, flushed = _prepared(ops, block_bits)
+    if flushed:
+        latest = known.agg(F.max("key.e")).first()[0]
+        last_flush = ops.where("op = 'flush'").agg(F.max("lsn")).first()[0]
+        known = known.where((F.col("key.e") == latest) & (F.col("lsn") > last_flush))
+    last = _per_block(_in_blocks(known)).groupBy("key").agg(F.max_by(F.struct("alive", "ends_at"), "block").alias("s"), F.max("wrote").alias("lsn"))
+    key = F.col("key.k") if flushed else F.col("key")
+    return last.where("s.alive").select(key.alias("key"), F.col("s.ends_at").alias("value"), "lsn")
 
 
 def keyspace_events(folded: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def folded(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def final(spark: SparkSession, folder: str) -> DataFrame:
-    return state(folded(spark, folder)).withColumn("value", F.round("value", 6))
+    return state(from_events(table(spark, folder, "events"))).withColumn("value", F.round("value", 6))
 
 
 def rows_of(op: str, *columns: str):
@@ -62,7 +62,7 @@ def _flushed(spark: SparkSession, folder: str) -> DataFrame:
     flush = spark.range(1).select((F.lit(FLUSH_AT)).cast("long").alias("lsn"), F.lit("flush").alias("op"))
     # the command takes the place of the one that has its number
     both = log.where(F.col("lsn") != FLUSH_AT).unionByName(flush, allowMissingColumns=True)
-    return state(fold(both), FLUSH_AT).select("key", F.round("value", 6).alias("value"))
+    return state(both).select("key", F.round("value", 6).alias("value"))
 
 
 def _expire(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.operators.fold import fold, state
+from ledgerfold.operators.fold import state
 from ledgerfold.runtime import SharedFiles, work_dir
 from ledgerfold.sources.oplog import from_events
 from ledgerfold.sources.tables import table_stream
@@ -45,7 +45,7 @@ class LiveState:
         touched = [r[0] for r in new.select(self._part().alias("p")).distinct().collect()]
         held = self._read(commands.sparkSession, [m["paths"][str(p)] for p in touched if str(p) in m["paths"]])
         both = held.select("lsn", F.lit("put").alias("op"), "key", "value").unionByName(new)
-        after = state(fold(both)).select("key", "value", "lsn", self._part().alias("part"))
+        after = state(both).select("key", "value", "lsn", self._part().alias("part"))
         after.write.partitionBy("part").parquet(folder)
         there = {n.removeprefix("part=") for n in self._files.names(folder) if n.startswith("part=")}
         paths = {k: v for k, v in m["paths"].items() if int(k) not in touched} | {str(p): f"{folder}/part={p}" for p in touched if str(p) in there}

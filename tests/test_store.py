@@ -38,11 +38,12 @@ def test_fold_against_the_store(spark, bits):
     for flushes in ([], [60, 200]):
         rows = [(n, rng.choice(["create", "update", "put", "delete", "incr", "read", "what", None]), rng.choice(["a", "b", "ключ", None]), rng.choice([1.0, 2.5, None]), "x") for n in range(1, 300)]
         rows = [r if r[0] not in flushes else (r[0], "flush", None, None, None) for r in rows]
-        folded = fold(spark.createDataFrame(rows, LOG).repartition(4), bits)
+        log = spark.createDataFrame(rows, LOG).repartition(4)
+        folded = fold(log, bits)
         held, want = brute(rows)
         got = {r.lsn: (r.live, r.accepted, r.value_after) for r in folded.collect()}
         assert got == want
-        assert {r.key: r.value for r in state(folded, max(flushes, default=None)).collect()} == held
+        assert {r.key: r.value for r in state(log, bits).collect()} == held
         told = {(r.lsn, r.op) for r in keyspace_events(folded).collect()}
         assert told == {(n, "del" if op == "delete" else "set") for n, op, *_ in rows if n in want and want[n][1] and op != "read"}
 

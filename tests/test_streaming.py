@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from ledgerfold.operators.fold import fold, state
+from ledgerfold.operators.fold import state
 from ledgerfold.streaming.expiry import expire_events, keyspace_stream
 from ledgerfold.streaming.live import LiveState
 
@@ -15,7 +15,7 @@ def test_live_state_over_batches_and_restarts(spark, tmp_path):
         spark.createDataFrame(part, LOG).coalesce(1).write.mode("append").parquet(folder)
         LiveState(spark, f"file://{tmp_path}/live", 4).run(spark.readStream.schema(schema).parquet(folder))
     live = LiveState(spark, f"file://{tmp_path}/live", 4)
-    want = {(r.key, r.value) for r in state(fold(spark.createDataFrame(rows, LOG))).collect()}
+    want = {(r.key, r.value) for r in state(spark.createDataFrame(rows, LOG)).collect()}
     assert {(r.key, r.value) for r in live.read().collect()} == want
     live.process(spark.createDataFrame(rows, LOG), 0)  # a batch that was committed
     assert {(r.key, r.value) for r in live.read().collect()} == want
