@@ -44,6 +44,7 @@ _LOST_SPAN = re.compile(
 _AT = re.compile(r"[.!?…؟।。！？．][^\w\s\[(„«「『“（【]*")
 _WIDE_MARKS = "。！？．"
 _BARE_BLANK = re.compile(rf"(?<=[{BARE}]) +(?=[{BARE}])")
+_GOES_ON = ";；:：,，、"
 _PARAGRAPH = re.compile(r"\[[0-9]{4}\]")
 _OTHER_BLANK = re.compile(r"[\t\x0b\x0c\x1c-\x1f\x85\u1680\u2000-\u200a\u2028\u2029\u202f\u205f]")
 _DIGITS = re.compile(r"[0-9０-９]+")
@@ -207,17 +208,19 @@ def _claims_inside(flat: str, lo: int, hi: int) -> list[int]:
     return []
 
 
-def _blocks(text: str) -> list[tuple[int, int]]:
-    """Stretches that the layout separates: paragraphs where blank lines part them, else lines."""
+def _blocks(text: str) -> list[tuple[int, int, bool]]:
+    """Stretches that the layout separates: paragraphs where blank lines part them, else lines; and whether there is no other but sequences."""
     lo, hi = len(text) - len(text.lstrip()), len(text.rstrip())
-    out = []
+    out: list[tuple[int, int, bool]] = []
     headed = _HEADED.match(text)
     blank = _BLANK_LINE.search(text, headed.end(), hi) if headed else None
     if blank:  # an abstract in another language, set before a text that has its own layout
-        out += _cut(text, _LINE, lo, blank.start())
+        out += [(a, b, False) for a, b in _cut(text, _LINE, lo, blank.start())]
         lo = blank.end()
     m = re.search(r"\n[ \t\r]*\n", text[lo:hi].lstrip())
-    return out + _cut(text, _BLANK_LINE if m else _LINE, lo, hi)
+    rest = _cut(text, _BLANK_LINE if m else _LINE, lo, hi)
+    alone = sum(not text.startswith("SEQ ID NO", a) for a, _ in rest) == 1
+    return out + [(a, b, alone) for a, b in rest]
 
 
 def _cut(text: str, pattern: re.Pattern, lo: int, hi: int) -> list[tuple[int, int]]:
@@ -238,13 +241,12 @@ def segment(text: str | None, model: Model) -> list[tuple[int, int]]:
     """Units of a text as (start, end) in code points, in order; none for NULL, empty or blank texts."""
     if not text or text.isspace():
         return []
-    blocks = _blocks(text)
     flat = _flat(text)
     lost = _LOST.search(flat) is not None
     starts: list[int] = []
     ends: list[int] = []
     due = 1
-    for lo, hi in blocks:
+    for lo, hi, alone in _blocks(text):
         while lo < hi and flat[lo] == " ":
             lo += 1
         while hi > lo and flat[hi - 1] == " ":
@@ -253,7 +255,11 @@ def segment(text: str | None, model: Model) -> list[tuple[int, int]]:
             continue
         cuts = [lo]
         claim = _CLAIM.match(flat, lo, hi)
-        if len(blocks) > 1 and claim and int(claim.group(1)) in (due, 1):
+        numbered = not alone and claim and int(claim.group(1)) in (due, 1)
+        if due > 1 and not numbered and flat[ends[-1] - 1] in _GOES_ON:  # a sub-item on a line of its own
+            ends[-1] = hi
+            continue
+        if numbered:
             due = int(claim.group(1)) + 1
             cuts += [m.start() for m in _SEQUENCE.finditer(flat, lo + 1, hi)]
         elif flat.startswith("SEQ ID NO", lo):
@@ -261,7 +267,7 @@ def segment(text: str | None, model: Model) -> list[tuple[int, int]]:
         else:
             sequences = [m.start() for m in _SEQUENCE.finditer(flat, lo, hi)]
             end = sequences[0] if sequences else hi
-            claims = _claims_inside(flat, lo, end) if len(blocks) == 1 else []
+            claims = _claims_inside(flat, lo, end) if alone else []
             prose = claims[0] if claims else end
             found = list(places(flat, lo, prose, lost))
             if found:

@@ -63,6 +63,18 @@ def test_abstract_in_another_language():
     assert units(text) == ["ABSTRACT", "Only the rotor remains.", "It does not!", "一种具有环形导轨的装置", "【摘要】", "图6为沿8-16线的剖视图。", "是否需要隔膜？", "权利要求", "1．一种装置，包括：传感器(73)；以及壳体(238)。"]
 
 
+def test_sub_items_on_lines_of_their_own():
+    for glue in ("\n", "\n\n"):
+        parts = ["一种装置", "权利要求", "1．一种装置，包括：转子(198)；\n第二壳体；\n以及壳体(12)。", "2．根据权利要求1所述的装置，其中阀体为柔性。", "SEQ ID NO: 6 tagc"]
+        assert units(glue.join(parts)) == parts
+
+
+def test_one_line_after_an_abstract_and_before_a_sequence():
+    one = ["Only the rotor remains.", "1. A clamp, comprising: a lens; and a rotor.", "2. The clamp of claim 1, wherein it turns."]
+    assert units(" ".join(one) + "\nSEQ ID NO: 6 tagc") == [*one, "SEQ ID NO: 6 tagc"]
+    assert units("ABSTRACT\nIt does not!\n\n" + " ".join(one)) == ["ABSTRACT", "It does not!", *one]
+
+
 def test_lost_letters():
     one = ["Auf der Anzeige steht ?Bereit. Bitte Geh?use ?ffnen.? in roter Schrift.", "Das ringf?rmige Rohr 89 liegt gem?? Abb. 11 an dem Teil 242 an.", "Was geschieht, wenn das K?hlblech klemmt?", "Siehe Punkt 9.2."]
     assert units(" ".join(one)) == one
