@@ -18,7 +18,7 @@ from ledgerfold.functions.text import json_as_number, json_string, number_text
 #: lsns per block of a key's history: what one window partition or task can get of a single key is at most so many changes.
 BLOCK_BITS = 16
 #: What a key can be before a block: absent, live with a number, live with something else.
-_STATES = ("a", "n", "x")
+_ABSENT, _NUMBER, _OTHER = 0, 1, 2
 
 
 def transactions(changes: DataFrame, after: int = 0, upto: int | None = None) -> DataFrame:
@@ -56,55 +56,59 @@ def contiguous_watermark(changes: DataFrame, start: int, block_bits: int = BLOCK
 
 
 def writes(txns: DataFrame) -> DataFrame:
-    """Key-level writes ``(key, lsn, kind, value, num, delta)`` of transactions.
+    """Key-level writes ``(key, lsn, op, value, num, delta)`` of transactions.
 
     A batch set gives one write per key of its map, all under its lsn; a map that
     is no JSON object gives none. A step is in ``delta``, in older records in
     ``value``; without either it is 1. Unknown operations and NULL keys are dropped.
     """
-    one = txns.where(F.col("op").isin("create", "update", "delete", "incr")).select(
-        "key", "lsn", "op", F.when(F.col("op").isin("create", "update"), F.coalesce("value", F.lit("null"))).alias("value"), F.when(F.col("op") == "incr", F.coalesce("delta", json_as_number(F.col("value")), F.lit(1.0))).alias("delta")
-    )
-    # The map's values as text in their own spelling; the variant tells strings from the rest.
-    maps = txns.where(F.col("op") == "mset").select("lsn", F.from_json("key", "map<string, string>").alias("m"), F.expr("try_variant_get(try_parse_json(key), '$', 'map<string, variant>')").alias("v")).where("v IS NOT NULL")
-    items = maps.select("lsn", "v", F.explode("m").alias("key", "text"))
-    value = F.when(F.col("text").isNull(), "null").when(F.expr("schema_of_variant(v[key]) = 'STRING'"), json_string(F.col("text"))).otherwise(F.col("text"))
-    many = items.select("key", "lsn", F.lit("create").alias("op"), value.alias("value"), F.lit(None).cast("double").alias("delta"))
-    return one.unionByName(many).where(F.col("key").isNotNull()).withColumn("num", json_as_number(F.col("value")))
+    op = F.col("op")
+    step = F.when(op == "incr", F.coalesce("delta", json_as_number(F.col("value")), F.lit(1.0)))
+    text = F.when(op.isin("create", "update"), F.coalesce("value", F.lit("null")))
+    one = F.array(F.struct(F.col("key"), op.alias("op"), text.alias("value"), step.alias("delta")))
+    # A map's values as text in their own spelling; the variant tells strings from the rest.
+    sets = F.when(op == "mset", F.col("key"))
+    texts = F.from_json(sets, "map<string, string>")
+    kinds = F.expr("try_variant_get(try_parse_json(CASE WHEN op = 'mset' THEN key END), '$', 'map<string, variant>')")
+
+    def item(e: Column) -> Column:
+        is_text = F.call_function("schema_of_variant", F.col("kinds")[e["key"]]) == "STRING"
+        value = F.when(e["value"].isNull(), "null").when(is_text, json_string(e["value"])).otherwise(e["value"])
+        return F.struct(e["key"].alias("key"), F.lit("create").alias("op"), value.alias("value"), F.lit(None).cast("double").alias("delta"))
+
+    known = txns.where(op.isin("create", "update", "delete", "incr", "mset")).select("lsn", "op", one.alias("one"), texts.alias("texts"), kinds.alias("kinds"))
+    many = F.when(F.col("kinds").isNotNull(), F.transform(F.map_entries("texts"), item))
+    rows = known.select("lsn", F.explode(F.when(op == "mset", many).otherwise(F.col("one"))).alias("w")).select("lsn", "w.*")
+    return rows.where(F.col("key").isNotNull()).select("key", "lsn", "op", "value", json_as_number(F.col("value")).alias("num"), "delta")
 
 
 def _fold_blocks(w: DataFrame, block_bits: int) -> DataFrame:
-    """Summary of each (key, block): for each state before it, the state after it and what the key holds."""
+    """``(key, block, by)``: for each state before the block the ``lsn`` last accepted, the ``base`` that the last reset left and the ``step`` added since."""
     blocks = w.withColumn("block", F.shiftright("lsn", block_bits))
     order = Window.partitionBy("key", "block").orderBy("lsn")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     op = F.col("op")
     lives = F.when(op.isin("create", "incr"), True).when(op == "delete", False)
-    kind = F.when(F.col("num").isNotNull(), "n").otherwise("x")
+    kind = F.when(F.col("num").isNotNull(), _NUMBER).otherwise(_OTHER)
     x = blocks.withColumn("was", F.last(lives, ignorenulls=True).over(before))
     # What each write resets the key to, where the key was absent (0) or live (1) before the block.
     for live in (0, 1):
-        resets = F.when(op == "create", kind).when(op == "delete", "a").when((op == "update") & F.coalesce("was", F.lit(bool(live))), kind)
+        resets = F.when(op == "create", kind).when(op == "delete", _ABSENT).when((op == "update") & F.coalesce("was", F.lit(bool(live))), kind)
         x = x.withColumn(f"r{live}", resets)
-    for live in (0, 1):
-        x = x.withColumn(f"k{live}", F.last(f"r{live}", ignorenulls=True).over(before)).withColumn(f"e{live}", F.last(F.when(F.col(f"r{live}").isNotNull(), F.col("lsn")), ignorenulls=True).over(upto))
-    ends = {live: F.max(f"e{live}").over(Window.partitionBy("key", "block")) for live in (0, 1)}
-    x = x.withColumns({f"z{live}": ends[live] for live in (0, 1)})
-    sums = []
-    for s in _STATES:
-        live = int(s != "a")
+    whole = Window.partitionBy("key", "block")
+    x = x.withColumns({f"k{live}": F.last(f"r{live}", ignorenulls=True).over(before) for live in (0, 1)})
+    x = x.withColumns({f"z{live}": F.max(F.when(F.col(f"r{live}").isNotNull(), F.col("lsn"))).over(whole) for live in (0, 1)})
+    by = []
+    for s in (_ABSENT, _NUMBER, _OTHER):
+        live = int(s != _ABSENT)
         now = F.coalesce(F.col(f"k{live}"), F.lit(s))
-        steps = (op == "incr") & now.isin("a", "n")
+        steps = (op == "incr") & (now != _OTHER)
         taken = F.col(f"r{live}").isNotNull() & (op != "delete") | steps
         since = steps & (F.col("lsn") > F.coalesce(f"z{live}", F.lit(-1).cast("long")))
         base = F.struct(F.col(f"r{live}").alias("kind"), F.col("value"), F.col("num"))
-        sums += [
-            F.max(F.when(taken, F.col("lsn"))).alias(f"lsn_{s}"),
-            F.max_by(base, F.when(F.col(f"r{live}").isNotNull(), F.col("lsn"))).alias(f"base_{s}"),
-            F.sum(F.when(since, F.col("delta"))).alias(f"step_{s}"),
-        ]
-    return x.groupBy("key", "block").agg(*sums)
+        last_reset = F.col("lsn") == F.col(f"z{live}")
+        by.append(F.struct(F.max(F.when(taken, F.col("lsn"))).alias("lsn"), F.first(F.when(last_reset, base), ignorenulls=True).alias("base"), F.sum(F.when(since, F.col("delta"))).alias("step")))
+    return x.groupBy("key", "block").agg(F.array(*by).alias("by"))
 
 
 def replay(snapshot: DataFrame, changes: DataFrame, upto: int | None = None, block_bits: int = BLOCK_BITS) -> DataFrame:
@@ -123,27 +127,22 @@ def replay(snapshot: DataFrame, changes: DataFrame, upto: int | None = None, blo
     """
     start = snapshot.agg(F.max("snapshot_lsn")).first()[0] or 0
     held = snapshot.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(F.coalesce("value", F.lit("null"))).alias("value"))
-    base = F.struct(F.when(F.col("num").isNotNull(), "n").otherwise("x").alias("kind"), "value", "num")
-    first = held.withColumn("num", json_as_number(F.col("value"))).select("key", F.lit(-1).cast("long").alias("block"), *[c for s in _STATES for c in (F.lit(start).cast("long").alias(f"lsn_{s}"), base.alias(f"base_{s}"), F.lit(None).cast("double").alias(f"step_{s}"))])
-    w = writes(transactions(changes, start, upto))
-    parts = first.unionByName(_fold_blocks(w, block_bits))
+    base = F.struct(F.when(F.col("num").isNotNull(), _NUMBER).otherwise(_OTHER).alias("kind"), F.col("value"), F.col("num"))
+    entry = F.struct(F.lit(start).cast("long").alias("lsn"), base.alias("base"), F.lit(None).cast("double").alias("step"))
+    first = held.withColumn("num", json_as_number(F.col("value"))).select("key", F.lit(-1).cast("long").alias("block"), F.array_repeat(entry, 3).alias("by"))
+    parts = first.unionByName(_fold_blocks(writes(transactions(changes, start, upto)), block_bits))
 
     def step(acc: Column, b: Column) -> Column:
-        def pick(name: str) -> Column:
-            return F.when(acc["kind"] == "a", b[f"{name}_a"]).when(acc["kind"] == "n", b[f"{name}_n"]).otherwise(b[f"{name}_x"])
-
-        new, add = pick("base"), pick("step")
-        kind = F.coalesce(new["kind"], acc["kind"])
+        now = b["by"][acc["kind"]]
+        new, add = now["base"], now["step"]
         num = F.when(new.isNotNull(), new["num"]).otherwise(acc["num"])
-        stepped = add.isNotNull()
         return F.struct(
-            F.when(stepped, F.lit("n")).otherwise(kind).alias("kind"),
-            F.when(stepped, F.lit(None)).when(new.isNotNull(), new["value"]).otherwise(acc["value"]).alias("value"),
-            F.when(stepped, F.coalesce(num, F.lit(0.0)) + add).otherwise(num).alias("num"),
-            F.coalesce(pick("lsn"), acc["lsn"]).alias("lsn"),
+            F.when(add.isNotNull(), _NUMBER).otherwise(F.coalesce(new["kind"], acc["kind"])).alias("kind"),
+            F.when(add.isNotNull(), F.lit(None)).when(new.isNotNull(), new["value"]).otherwise(acc["value"]).alias("value"),
+            F.when(add.isNotNull(), F.coalesce(num, F.lit(0.0)) + add).otherwise(num).alias("num"),
+            F.coalesce(now["lsn"], acc["lsn"]).alias("lsn"),
         )
 
-    blank = F.struct(F.lit("a").alias("kind"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("double").alias("num"), F.lit(None).cast("long").alias("lsn"))
-    names = [f"{n}_{s}" for s in _STATES for n in ("lsn", "base", "step")]
-    state = parts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("block", *names))).alias("b")).select("key", F.aggregate("b", blank, step).alias("s"))
-    return state.where(F.col("s.kind") != "a").select("key", F.coalesce("s.value", number_text(F.col("s.num"))).alias("value"), F.col("s.lsn").alias("lsn"))
+    blank = F.struct(F.lit(_ABSENT).alias("kind"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("double").alias("num"), F.lit(None).cast("long").alias("lsn"))
+    state = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("block", "by"))).alias("b")).select("key", F.aggregate("b", blank, step).alias("s"))
+    return state.where(F.col("s.kind") != _ABSENT).select("key", F.coalesce("s.value", number_text(F.col("s.num"))).alias("value"), F.col("s.lsn").alias("lsn"))
