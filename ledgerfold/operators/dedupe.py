@@ -24,7 +24,7 @@ class SeenStore:
 
     ``ids`` are the identifier columns (NULL equals NULL), ``order`` a unique
     number that rises with arrival, ``seconds`` the event time of a row (may be
-    NULL), ``slot`` a long by which the archive is partitioned: equal for copies
+    NULL), ``slot`` a long by which the archive is sorted: equal for copies
     of one message, and of few values within a micro-batch, so that a lookup
     reads little of a long history.
 
@@ -52,14 +52,15 @@ class SeenStore:
         self._files.delete(folder)  # of an attempt that died
         spark = rows.sparkSession
         own = rows.select(*self.ids, F.col(self.order).alias("first"), self.seconds.alias("seconds"), self.slot.alias("slot"))
-        median, slots, any_row = own.agg(F.percentile_approx("seconds", 0.5, 100), F.collect_set("slot"), F.count(F.lit(1))).first()
-        if not any_row:
+        slots = [r[0] for r in own.select("slot").distinct().limit(MOST_SLOTS + 1).collect()]
+        if not slots:
             self._commit(m, batch, None, None, m["watermark"])
             return
+        median = own.agg(F.percentile_approx("seconds", 0.5, 100)).first()[0]
         watermark = m["watermark"] if median is None else max(median - self.delay, m["watermark"] if m["watermark"] is not None else median - self.delay)
         everything = own.select(*self.ids, "slot", "first", "seconds", F.lit(1).alias("fresh"), F.lit(None).cast("long").alias("held"))
         if m["versions"]:
-            shape = everything.select(*self.ids, "first", "seconds").schema.add("hot", "boolean").add("slot", "long")
+            shape = everything.select(*self.ids, "slot", "first", "seconds").schema.add("hot", "boolean")
             hot = spark.read.schema(shape).option("basePath", m["versions"][-1]).parquet(f"{m['versions'][-1]}/hot=true") if self._files.exists(f"{m['versions'][-1]}/hot=true") else None
             cold = [(v, f"{v}/hot=false") for v in m["versions"] if self._files.exists(f"{v}/hot=false")]
             for part in ([hot] if hot is not None else []) + [self._archive(spark, shape, v, p, slots) for v, p in cold]:
@@ -71,7 +72,8 @@ class SeenStore:
             .where("fresh = 1")
         )
         hot_now = F.coalesce(F.col("seconds") >= F.lit(watermark), F.lit(False)) if watermark is not None else F.lit(False)
-        folded.drop("fresh").withColumn("hot", hot_now).write.partitionBy("hot", "slot").parquet(f"{folder}/seen")
+        # Files are sorted by slot, so that a lookup skips the pages of other slots without a file for each.
+        folded.drop("fresh").withColumn("hot", hot_now).sortWithinPartitions("hot", "slot").write.partitionBy("hot").parquet(f"{folder}/seen")
         seen = spark.read.parquet(f"{folder}/seen")
         # A copy is every row but the first of its message; where an earlier copy arrives in a later batch, the one held so far becomes the further copy.
         firsts = seen.select("first")
