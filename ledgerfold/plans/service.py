@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import codec, text
@@ -188,6 +188,29 @@ def _roles(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("command", "role", "read_only").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _full_sync(spark: SparkSession, folder: str) -> DataFrame:
+    """What a follower holds after a full sync by the line stream: expiry counted on from then, keys routed by its own shards."""
+    path = work_dir(spark, "sync")
+    to_lines(reads.dump(snapshot(spark, folder), now())).write.text(path, compression="gzip")
+    state = reads.load(from_lines(spark.read.text(path)), now())
+    return routing.with_shard(state, 4).select("key", "value", F.unix_millis("expire_at").alias("expire_ms"))
+
+
+def _log_replies(spark: SparkSession, folder: str) -> DataFrame:
+    """For each position that a follower asks from, the status and how many entries it gets."""
+    log = _log(spark, folder)
+    log.rotate(LOG_FROM)
+    starts = replication.log_status(table(spark, folder, "follower_ack").where("stream = 'ops'").select(F.col("ack_lsn").alias("start_lsn")).distinct(), log.oldest())
+    # counts from each position on: sums from the end over positions and entries in blocks of lsn
+    both = starts.select(F.col("start_lsn").alias("at"), "status").unionByName(log.entries().select(F.col("lsn").alias("at"), F.lit(None).cast("int").alias("status")))
+    block = F.shiftright("at", 16)
+    sums = both.groupBy(block.alias("block")).agg(F.count_if(F.col("status").isNull()).alias("n"))
+    later = sums.select("block", (F.sum("n").over(Window.orderBy(F.desc("block"))) - F.col("n")).alias("later"))  # one row per block
+    inside = F.count_if(F.col("status").isNull()).over(Window.partitionBy("block").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, -1))
+    rows = both.withColumn("block", block).withColumn("inside", inside).where("status IS NOT NULL").join(later, "block")
+    return rows.select(F.col("at").alias("start_lsn"), "status", F.when(F.col("status") == 200, F.col("inside") + F.col("later")).otherwise(0).alias("changes"))
+
+
 def _streamed(spark: SparkSession, folder: str) -> DataFrame:
     return live.drain(spark, folder).select("key", F.round("value", 6).alias("value"), "lsn")
 
@@ -234,13 +257,17 @@ QUERIES = {
     "st02_shed_oldest": _shed("drop_oldest"),
     "st03_pushes": _pushes,
     "st04_catch_up": _streamed,
+    "st05_full_sync": _full_sync,
     "st06_apply": lambda s, f: replication.to_apply(table(s, f, "ops"), LOG_FROM),
     "st07_log_status": _status,
     "st10_expirer": _expired_events,
     "st12_fresh": _fresh,
     "st13_read_only": _roles,
     "st15_rate_limit": _limited,
+    "ac01_role": lambda s, f: table(s, f, "customer").select("c_custkey", access.role_of(F.col("c_name"), SECRETS).alias("role")),
     "ac02_authorize": _auth,
+    "h11_ai_values": lambda s, f: snapshot(s, f).where(F.col("key").startswith(aicache.PREFIX)).select(F.substring("key", len(aicache.PREFIX) + 1, 64).alias("cache_key"), "value"),
+    "h14_log": _log_replies,
 }
 
 _LAG = """lag AS (SELECT stream, follower, greatest(coalesce(arg_max(ack_lsn, ack_id), 0), 0) AS ack, arg_max(leader_lsn, ack_id) AS leader, arg_max(ok, ack_id) AS ok, arg_max(coalesce(error, ''), ack_id) AS error,
@@ -303,10 +330,15 @@ ORACLE = {
     "st02_shed_oldest": f"SELECT delivery_id FROM ops QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY delivery_id DESC) <= {ROOM}",
     "st03_pushes": "SELECT (n - 1) // 100 AS push, count(*) AS changes, min(lsn) AS lsn_from, max(lsn) AS lsn_to FROM (SELECT lsn, row_number() OVER (ORDER BY lsn) AS n FROM (SELECT DISTINCT lsn FROM ops WHERE lsn > 0)) GROUP BY 1",
     "st04_catch_up": f"WITH {LOG}{FOLD} SELECT key, value, lsn FROM state",
+    "st05_full_sync": f"WITH {SNAP} SELECT key, value, epoch_ms(expire_at) AS expire_ms FROM snap WHERE expire_at IS NULL OR expire_at > TIMESTAMP '{NOW}'",
     "st06_apply": f"WITH {_ENTRY} SELECT lsn, c.op AS op, c.key AS key FROM entry WHERE lsn > {LOG_FROM}",
     "st07_log_status": f"SELECT DISTINCT ack_lsn AS start_lsn, CASE WHEN ack_lsn < {LOG_FROM - 1} THEN 410 ELSE 200 END AS status FROM follower_ack WHERE stream = 'ops'",
     "st10_expirer": f"WITH {SNAP} SELECT 'expire' AS op, key, snapshot_lsn AS lsn, shard FROM snap WHERE expire_at <= TIMESTAMP '{NOW}'",
     "st12_fresh": f"WITH {_LAG} SELECT stream, follower, greatest(coalesce(leader, 0) - ack, 0) <= 50 AS fresh FROM lag",
     "st13_read_only": "SELECT c.command, c.role, c.read_only, count(*) AS n FROM events JOIN (VALUES ('signup', 'SET', 'writer', true), ('view', 'GET', 'reader', false), ('click', 'incr', 'writer', true), ('purchase', 'CONFIG', 'admin', false), ('error', 'DEL', 'writer', true)) c(t, command, role, read_only) ON t = event_type GROUP BY ALL",
+    "ac01_role": f"SELECT c_custkey, {_ROLE} AS role FROM customer",
+    "h11_ai_values": f"WITH {SNAP} SELECT substr(key, 10) AS cache_key, value FROM snap WHERE starts_with(key, 'ai:cache:')",
+    "h14_log": f"""WITH {_ENTRY}, s AS (SELECT DISTINCT ack_lsn AS start_lsn FROM follower_ack WHERE stream = 'ops'), n AS (SELECT start_lsn, count(*) AS n FROM s JOIN entry e ON e.lsn > start_lsn AND e.lsn > {LOG_FROM} GROUP BY 1)
+        SELECT start_lsn, CASE WHEN start_lsn < {LOG_FROM} THEN 410 ELSE 200 END AS status, CASE WHEN start_lsn < {LOG_FROM} THEN 0 ELSE coalesce(n, 0) END AS changes FROM s LEFT JOIN n USING (start_lsn)""",
     "ac02_authorize": f"SELECT c_custkey, {_ROLE} AS role, CASE WHEN {_ROLE} IS NULL THEN 401 WHEN {_ROLE} = 'reader' THEN 403 ELSE 200 END AS status FROM customer",
 }

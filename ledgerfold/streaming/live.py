@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ledgerfold.operators.fold import state
 from ledgerfold.runtime import SharedFiles, work_dir
@@ -58,10 +59,17 @@ class LiveState:
         """``(key, value, lsn)`` of the latest version."""
         return self._read(self.spark, list(self._current()["paths"].values()))
 
+    def start(self, commands: DataFrame, every: str | None = None) -> StreamingQuery:
+        """Keep the state current from a stream, with a version ``every`` so often (such as ``1 minute``), or until what is there is drained.
+
+        Each version is a snapshot; offsets are kept beside it, so a restart goes on from it.
+        """
+        writer = commands.writeStream.foreachBatch(self.process).option("checkpointLocation", f"{self.root}/offsets")
+        return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
     def run(self, commands: DataFrame) -> None:
-        """Drain a stream of commands; offsets are kept beside the state."""
-        query = commands.writeStream.foreachBatch(self.process).option("checkpointLocation", f"{self.root}/offsets").trigger(availableNow=True).start()
-        query.awaitTermination()
+        """Drain a stream of commands."""
+        self.start(commands).awaitTermination()
 
 
 def drain(spark: SparkSession, folder: str) -> DataFrame:
