@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_ROOT: dict[str, str] = {}
+_MADE: dict[str, list[str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -32,8 +33,17 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below :func:`shared_root`."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder below :func:`shared_root`. It stays while results may be read from it; see :func:`clear_work`."""
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete the work folders that this session made; results that were not written elsewhere can't be read after it."""
+    files = SharedFiles(spark)
+    for path in _MADE.pop(spark.sparkContext.applicationId, []):
+        files.delete(path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -16,6 +16,9 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from ledgerfold.runtime import clear_work
+
+    clear_work(s)
     s.stop()
 
 
