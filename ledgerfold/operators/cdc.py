@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ledgerfold.functions.text import json_as_number, json_string, number_text
 
 #: lsns per block of a key's history: what one window partition or task can get of a single key is at most so many changes.
-BLOCK_BITS = 16
+BLOCK_BITS = 20
 #: What a key can be before a block: absent, live with a number, live with something else.
 _ABSENT, _NUMBER, _OTHER = 0, 1, 2
 
