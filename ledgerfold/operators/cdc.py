@@ -83,7 +83,11 @@ def writes(txns: DataFrame) -> DataFrame:
 
 
 def _fold_blocks(w: DataFrame, block_bits: int) -> DataFrame:
-    """``(key, block, by)``: for each state before the block the ``lsn`` last accepted, the ``base`` that the last reset left and the ``step`` added since."""
+    """``(key, block, lsns, steps, same, dead, alive)``: for each state before the block the lsn last accepted and the sum of steps since the last reset.
+
+    What that reset left is ``dead`` if the key was absent before, ``alive`` if it
+    was live; where both are one write, ``same`` holds and it is given once.
+    """
     blocks = w.withColumn("block", F.shiftright("lsn", block_bits))
     order = Window.partitionBy("key", "block").orderBy("lsn")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -98,17 +102,21 @@ def _fold_blocks(w: DataFrame, block_bits: int) -> DataFrame:
     whole = Window.partitionBy("key", "block")
     x = x.withColumns({f"k{live}": F.last(f"r{live}", ignorenulls=True).over(before) for live in (0, 1)})
     x = x.withColumns({f"z{live}": F.max(F.when(F.col(f"r{live}").isNotNull(), F.col("lsn"))).over(whole) for live in (0, 1)})
-    by = []
+    lsns, steps, bases = [], [], []
     for s in (_ABSENT, _NUMBER, _OTHER):
         live = int(s != _ABSENT)
         now = F.coalesce(F.col(f"k{live}"), F.lit(s))
-        steps = (op == "incr") & (now != _OTHER)
-        taken = F.col(f"r{live}").isNotNull() & (op != "delete") | steps
-        since = steps & (F.col("lsn") > F.coalesce(f"z{live}", F.lit(-1).cast("long")))
+        adds = (op == "incr") & (now != _OTHER)
+        taken = F.col(f"r{live}").isNotNull() & (op != "delete") | adds
+        since = adds & (F.col("lsn") > F.coalesce(f"z{live}", F.lit(-1).cast("long")))
+        lsns.append(F.max(F.when(taken, F.col("lsn"))))
+        steps.append(F.sum(F.when(since, F.col("delta"))))
+    for live in (0, 1):
         base = F.struct(F.col(f"r{live}").alias("kind"), F.col("value"), F.col("num"))
-        last_reset = F.col("lsn") == F.col(f"z{live}")
-        by.append(F.struct(F.max(F.when(taken, F.col("lsn"))).alias("lsn"), F.first(F.when(last_reset, base), ignorenulls=True).alias("base"), F.sum(F.when(since, F.col("delta"))).alias("step")))
-    return x.groupBy("key", "block").agg(F.array(*by).alias("by"))
+        given = F.col("lsn") == F.col(f"z{live}")
+        bases.append(F.first(F.when(given & ~F.col("same") if live else given, base), ignorenulls=True))
+    x = x.withColumn("same", F.col("z0").eqNullSafe(F.col("z1")))
+    return x.groupBy("key", "block").agg(F.array(*lsns).alias("lsns"), F.array(*steps).alias("steps"), F.first("same").alias("same"), bases[0].alias("dead"), bases[1].alias("alive"))
 
 
 def replay(snapshot: DataFrame, changes: DataFrame, upto: int | None = None, block_bits: int = BLOCK_BITS) -> DataFrame:
@@ -128,21 +136,22 @@ def replay(snapshot: DataFrame, changes: DataFrame, upto: int | None = None, blo
     start = snapshot.agg(F.max("snapshot_lsn")).first()[0] or 0
     held = snapshot.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(F.coalesce("value", F.lit("null"))).alias("value"))
     base = F.struct(F.when(F.col("num").isNotNull(), _NUMBER).otherwise(_OTHER).alias("kind"), F.col("value"), F.col("num"))
-    entry = F.struct(F.lit(start).cast("long").alias("lsn"), base.alias("base"), F.lit(None).cast("double").alias("step"))
-    first = held.withColumn("num", json_as_number(F.col("value"))).select("key", F.lit(-1).cast("long").alias("block"), F.array_repeat(entry, 3).alias("by"))
+    first = held.withColumn("num", json_as_number(F.col("value"))).select(
+        "key", F.lit(-1).cast("long").alias("block"), F.array_repeat(F.lit(start).cast("long"), 3).alias("lsns"), F.array_repeat(F.lit(None).cast("double"), 3).alias("steps"), F.lit(True).alias("same"), base.alias("dead"), F.lit(None).cast("struct<kind: int, value: string, num: double>").alias("alive")
+    )
     parts = first.unionByName(_fold_blocks(writes(transactions(changes, start, upto)), block_bits))
 
     def step(acc: Column, b: Column) -> Column:
-        now = b["by"][acc["kind"]]
-        new, add = now["base"], now["step"]
+        new = F.when((acc["kind"] == _ABSENT) | b["same"], b["dead"]).otherwise(b["alive"])
+        add = b["steps"][acc["kind"]]
         num = F.when(new.isNotNull(), new["num"]).otherwise(acc["num"])
         return F.struct(
             F.when(add.isNotNull(), _NUMBER).otherwise(F.coalesce(new["kind"], acc["kind"])).alias("kind"),
             F.when(add.isNotNull(), F.lit(None)).when(new.isNotNull(), new["value"]).otherwise(acc["value"]).alias("value"),
             F.when(add.isNotNull(), F.coalesce(num, F.lit(0.0)) + add).otherwise(num).alias("num"),
-            F.coalesce(now["lsn"], acc["lsn"]).alias("lsn"),
+            F.coalesce(b["lsns"][acc["kind"]], acc["lsn"]).alias("lsn"),
         )
 
     blank = F.struct(F.lit(_ABSENT).alias("kind"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("double").alias("num"), F.lit(None).cast("long").alias("lsn"))
-    state = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("block", "by"))).alias("b")).select("key", F.aggregate("b", blank, step).alias("s"))
+    state = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("block", "lsns", "steps", "same", "dead", "alive"))).alias("b")).select("key", F.aggregate("b", blank, step).alias("s"))
     return state.where(F.col("s.kind") != _ABSENT).select("key", F.coalesce("s.value", number_text(F.col("s.num"))).alias("value"), F.col("s.lsn").alias("lsn"))
