@@ -39,7 +39,7 @@ _SPAN = re.compile(
 #: A text in which letters came through as question marks, and quotations there.
 _LOST = re.compile(r"[A-Za-z]\?[a-z]")
 _LOST_SPAN = re.compile(
-    _SPAN.pattern + r"|(?<=[^\s.!?:] )\?(?!C\b)(?=[^\W\d_a-z])[^\n]{0,120}?[\w.!]\?(?=[ ,.;])|(?<=[^\s.!?] )\? [^\n?]{1,40}?(?:\?[^\n?]{1,40}?){0,6}? \?(?= )"
+    _SPAN.pattern + r"|(?<=[^\s.!?:] )\?(?!C\b)(?=[^\W\d_a-z])[^\n]{0,120}?[\w.!]\?(?=[ ,.;])|(?<=[^\s.!?] )\? [^\n?]{1,40}?(?:\?[^\n?]{1,40}?){0,6}?[.!] \?(?= )"
 )
 _AT = re.compile(r"[.!?…؟।。！？．][^\w\s\[(„«「『“（【]*")
 _WIDE_MARKS = "。！？．"
@@ -61,6 +61,8 @@ def _class(ch: str) -> str:
         return "h"
     if 0x0E01 <= o <= 0x0EDF:
         return "t"
+    if 0xAC00 <= o <= 0xD7A3:
+        return "k"
     if ch.isupper():
         return "A"
     if ch.islower():
@@ -84,7 +86,7 @@ def features(before: str, lost: bool, after: str) -> list[str]:
     nxt = after[:1] if bare else after.rstrip("\"»”’').,;:!?؟،؛").lower()
     second = _class(after[1]) if len(after) > 1 else "-"
     kind = "i" if len(core) == 1 and core.isalpha() else "d" if core and not any(c.isalpha() for c in core) else "." if "." in core else "w"
-    out = [f"e{end}|{first}", f"e{end}|{last}|{first}", f"m{marks}|{first}", f"k{kind}|{end}|{first}", f"k{kind}|{end}|{first}{second}"]
+    out = [f"e{end}|{first}", f"e{end}|{last}|{first}", f"m{marks}|{first}", f"k{kind}|{end}|{first}", f"k{kind}|{end}|{first}{second}", f"c{core[-1:]}|{end}|{first}", f"x{marks[-1:]}|{first}"]
     if not bare:
         out += [f"w{word}|{end}", f"w{word}|{first}", f"n{end[:1] == 'L'}{nxt}", f"w{word}|n{nxt}"]
     return out

@@ -23,8 +23,8 @@ import pyarrow.parquet as pq
 from ledgerfold.llm.sentences import _CLAIM, _DIGITS, _LOST, BARE, Model, _flat, features, places
 
 #: Bound of the labelled sample.
-MOST_ROWS = 4000
-EPOCHS = 6
+MOST_ROWS = 16000
+EPOCHS = 8
 #: Rounds of fitting after which texts that turn out to have another layout are left out.
 ROUNDS = 2
 #: Lines without an end mark that are shorter than this are titles or headings (not in scripts that have no end marks).
