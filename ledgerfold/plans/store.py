@@ -105,10 +105,28 @@ def _index(spark: SparkSession, folder: str) -> DataFrame:
     return numbered(table(spark, folder, "keyspace_event").select("key").distinct(), ["key"], "place").select("key", "place")
 
 
+def _all_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Every key of the notices, also those whose notices all came without their shard."""
+    return table(spark, folder, "keyspace_event").select("key").distinct()
+
+
 def _keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys with a notice that names their shard, for the queries whose SQL reads the shard from the table."""
     return table(spark, folder, "keyspace_event").where("shard IS NOT NULL").select("key").distinct()
 
 
+def _tagged(keys):
+    return lambda spark, folder: keys(spark, folder).select("key", routing.key_material(F.col("key")).alias("material"))
+
+
+def _sharded(keys):
+    return lambda spark, folder: routing.with_shard(keys(spark, folder), SHARDS)
+
+
+def _by_shard(keys):
+    return lambda spark, folder: _sharded(keys)(spark, folder).groupBy("shard").agg(F.count(F.lit(1)).alias("keys"))
+
+
 def _read_through(spark: SparkSession, folder: str) -> DataFrame:
     hot, cold = (t.withColumn("value", F.col("freq")) for t in eviction.tiers(eviction.touches(accesses(spark, folder)), CAPACITY))
     return reads.read_through(hot, cold, table(spark, folder, "ops").select("key")).select("key", "tier")
@@ -172,10 +190,13 @@ QUERIES = {
     "ev04_spill": _tiers,
     "ev04_spill_replay": _bounded("lru", True),
     "ev05_index": _index,
-    "rt01_hash_tag": lambda spark, folder: _keys(spark, folder).select("key", routing.key_material(F.col("key")).alias("material")),
+    "rt01_hash_tag": _tagged(_keys),
+    "rt01_all_keys": _tagged(_all_keys),
     "rt02_ring": lambda spark, folder: routing.ring_table(spark, SHARDS),
-    "rt03_shard": lambda spark, folder: routing.with_shard(_keys(spark, folder), SHARDS),
-    "rt04_by_shard": lambda spark, folder: routing.with_shard(_keys(spark, folder), SHARDS).groupBy("shard").agg(F.count(F.lit(1)).alias("keys")),
+    "rt03_shard": _sharded(_keys),
+    "rt03_all_keys": _sharded(_all_keys),
+    "rt04_by_shard": _by_shard(_keys),
+    "rt04_all_keys": _by_shard(_all_keys),
     "jn01_mget": lambda spark, folder: reads.mget(snapshot(spark, folder), table(spark, folder, "ops").select("key")),
     "jn03_ring_lookup": lambda spark, folder: routing.with_shard(_customers(spark, folder), 4),
     "jn04_read_through": _read_through,
@@ -255,8 +276,11 @@ ORACLE = {
     "ev04_spill": f"WITH {TOUCH} SELECT shard, CASE WHEN p <= {CAPACITY} THEN 'hot' ELSE 'cold' END AS tier, count(*) AS keys FROM (SELECT shard, row_number() OVER (PARTITION BY shard ORDER BY last_seq DESC, key) AS p FROM t) GROUP BY ALL",
     "ev05_index": "SELECT key, row_number() OVER (ORDER BY key) AS place FROM (SELECT DISTINCT key FROM keyspace_event)",
     "rt01_hash_tag": r"SELECT DISTINCT key, CASE WHEN regexp_matches(key, '^[^{]*\{[^}]+\}') THEN regexp_extract(key, '^[^{]*\{([^}]+)\}', 1) ELSE key END AS material FROM keyspace_event WHERE shard IS NOT NULL",
+    "rt01_all_keys": r"SELECT DISTINCT key, CASE WHEN regexp_matches(key, '^[^{]*\{[^}]+\}') THEN regexp_extract(key, '^[^{]*\{([^}]+)\}', 1) ELSE key END AS material FROM keyspace_event",
     "rt02_ring": f"WITH {_routed(SHARDS, 'SELECT NULL AS key')} SELECT * FROM spans",
     "rt03_shard": "SELECT DISTINCT key, shard FROM keyspace_event WHERE shard IS NOT NULL",
+    "rt03_all_keys": f"WITH {_routed(SHARDS, 'SELECT key FROM keyspace_event')} SELECT key, shard FROM asked LEFT JOIN routed USING (key)",
+    "rt04_all_keys": f"WITH {_routed(SHARDS, 'SELECT key FROM keyspace_event')} SELECT shard, count(*) AS keys FROM asked LEFT JOIN routed USING (key) GROUP BY shard",
     "rt04_by_shard": "SELECT shard, count(DISTINCT key) AS keys FROM keyspace_event WHERE shard IS NOT NULL GROUP BY shard",
     "jn01_mget": f"WITH {SNAP} SELECT key, value FROM snap WHERE key IN (SELECT key FROM ops)",
     "jn03_ring_lookup": f"WITH {_routed(4, 'SELECT CAST(c_custkey AS VARCHAR) AS key FROM customer')} SELECT key, shard FROM routed",

@@ -1,11 +1,13 @@
 import random
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerfold.operators import commands, eviction, reads, routing
 from ledgerfold.operators.fold import fold, keyspace_events, state
+from ledgerfold.plans import store
 
 LOG = "lsn long, op string, key string, value double, live string"
 
@@ -138,6 +140,17 @@ def test_routing(spark):
         assert got[k] == next((s for p, s in ring if p >= h), ring[0][1]) == routing.shard_of(k, 7)
 
 
+def test_keys_without_a_known_shard_are_routed(spark, tmp_path):
+    rows = [("user:{42}:a", None), ("user:{42}:b", 3), ("user:{42}:b", None), ("plain", None), ("", None)]
+    spark.createDataFrame(rows, "key string, shard int").write.parquet(f"{tmp_path}/keyspace_event.parquet")
+    got = {n: store.QUERIES[n](spark, str(tmp_path)).collect() for n in ("rt01_all_keys", "rt03_all_keys", "rt04_all_keys")}
+    keys = {k for k, _ in rows}
+    assert {r.key: r.material for r in got["rt01_all_keys"]} == {k: "42" if "{42}" in k else k for k in keys}
+    shards = {k: routing.shard_of(k, store.SHARDS) for k in keys}
+    assert {r.key: r.shard for r in got["rt03_all_keys"]} == shards and len(got["rt03_all_keys"]) == len(keys)
+    assert {r.shard: r["keys"] for r in got["rt04_all_keys"]} == Counter(shards.values())
+
+
 def test_reads(spark):
     st = spark.createDataFrame([("foo", "1", None), ("foo2", "2", None), ("bar", "3", None), ("fop", "4", None), ("a", "5", None), ("c", "6", None), (None, "7", None)], "key string, value string, expire_at timestamp")
     keys = spark.createDataFrame([("a",), ("c",), ("x",), ("a",), (None,)], "key string")
