@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.operators import cdc, commands, eviction, reads, routing
+from ledgerfold.operators import cdc, commands, dedupe, eviction, reads, routing
 from ledgerfold.operators.fold import fold, keyspace_events, on_channel, state
 from ledgerfold.sources.oplog import from_events, numbered
 from ledgerfold.sources.tables import plain_op, table
@@ -73,20 +73,31 @@ def _expire(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def accesses(spark: SparkSession, folder: str) -> DataFrame:
+    """A use per lsn above 0 and key. Notices without an lsn are left out, those of one lsn and key (a set and an expire) are one use."""
     rows = table(spark, folder, "keyspace_event").where("lsn > 0").groupBy("lsn", "key").agg(F.lit(1))
     return routing.with_shard(rows.select("lsn", "key"), SHARDS)
 
 
-def _ranked(policy: str):
+def _all_accesses(spark: SparkSession, folder: str) -> DataFrame:
+    """A use per message of the notices, told apart as in p2. One without an lsn has lsn 0: it counts, and is older than all that have one."""
+    names, columns = dedupe.message_ids("keyspace_event")
+    rows = table(spark, folder, "keyspace_event").select(*columns).groupBy(*names).agg(F.lit(1))
+    return routing.with_shard(rows.select(F.col("id_lsn").alias("lsn"), F.col("id_key").alias("key")), SHARDS)
+
+
+def _ranked(policy: str, used=accesses):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return eviction.ranked(eviction.touches(accesses(spark, folder)), CAPACITY, policy)
+        return eviction.ranked(eviction.touches(used(spark, folder)), CAPACITY, policy)
 
     return query
 
 
-def _tiers(spark: SparkSession, folder: str) -> DataFrame:
-    hot, cold = eviction.tiers(eviction.touches(accesses(spark, folder)), CAPACITY)
-    return hot.withColumn("tier", F.lit("hot")).unionByName(cold.withColumn("tier", F.lit("cold"))).groupBy("shard", "tier").agg(F.count(F.lit(1)).alias("keys"))
+def _tiers(used):
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        hot, cold = eviction.tiers(eviction.touches(used(spark, folder)), CAPACITY)
+        return hot.withColumn("tier", F.lit("hot")).unionByName(cold.withColumn("tier", F.lit("cold"))).groupBy("shard", "tier").agg(F.count(F.lit(1)).alias("keys"))
+
+    return query
 
 
 def _timed(spark: SparkSession, folder: str) -> DataFrame:
@@ -127,9 +138,12 @@ def _by_shard(keys):
     return lambda spark, folder: _sharded(keys)(spark, folder).groupBy("shard").agg(F.count(F.lit(1)).alias("keys"))
 
 
-def _read_through(spark: SparkSession, folder: str) -> DataFrame:
-    hot, cold = (t.withColumn("value", F.col("freq")) for t in eviction.tiers(eviction.touches(accesses(spark, folder)), CAPACITY))
-    return reads.read_through(hot, cold, table(spark, folder, "ops").select("key")).select("key", "tier")
+def _read_through(used):
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        hot, cold = (t.withColumn("value", F.col("freq")) for t in eviction.tiers(eviction.touches(used(spark, folder)), CAPACITY))
+        return reads.read_through(hot, cold, table(spark, folder, "ops").select("key")).select("key", "tier")
+
+    return query
 
 
 def web_log(spark: SparkSession, folder: str) -> DataFrame:
@@ -183,11 +197,15 @@ QUERIES = {
     "kv17_expire": _expire,
     "kv_expiring_fold": lambda spark, folder: eviction.expiring_fold(_timed(spark, folder)),
     "ev01_lru": _ranked("lru"),
+    "ev01_lru_all": _ranked("lru", _all_accesses),
     "ev01_lru_replay": _bounded("lru", False),
     "ev02_lfu": _ranked("lfu"),
+    "ev02_lfu_all": _ranked("lfu", _all_accesses),
     "ev02_lfu_replay": _bounded("lfu", False),
     "ev03_touch": lambda spark, folder: eviction.touches(accesses(spark, folder)),
-    "ev04_spill": _tiers,
+    "ev03_touch_all": lambda spark, folder: eviction.touches(_all_accesses(spark, folder)),
+    "ev04_spill": _tiers(accesses),
+    "ev04_spill_all": _tiers(_all_accesses),
     "ev04_spill_replay": _bounded("lru", True),
     "ev05_index": _index,
     "rt01_hash_tag": _tagged(_keys),
@@ -199,7 +217,8 @@ QUERIES = {
     "rt04_all_keys": _by_shard(_all_keys),
     "jn01_mget": lambda spark, folder: reads.mget(snapshot(spark, folder), table(spark, folder, "ops").select("key")),
     "jn03_ring_lookup": lambda spark, folder: routing.with_shard(_customers(spark, folder), 4),
-    "jn04_read_through": _read_through,
+    "jn04_read_through": _read_through(accesses),
+    "jn04_read_through_all": _read_through(_all_accesses),
     "st01_changes": lambda spark, folder: folded(spark, folder).where("accepted AND op <> 'read'").select("lsn", "op", "key"),
     "st08_keyspace": _feed,
     "st09_channels": _channels,
@@ -249,6 +268,10 @@ def _routed(shards: int, keys: str) -> str:
 TOUCH = f"""{_routed(SHARDS, 'SELECT key FROM keyspace_event WHERE lsn > 0')},
     t AS (SELECT r.shard, d.key, count(*) AS freq, max(d.lsn) AS last_seq FROM (SELECT DISTINCT lsn, key FROM keyspace_event WHERE lsn > 0) d JOIN routed r USING (key) GROUP BY ALL)"""
 
+TOUCH_ALL = f"""{_routed(SHARDS, 'SELECT key FROM keyspace_event')},
+    t AS (SELECT r.shard, d.key, count(*) AS freq, max(d.lsn) AS last_seq
+          FROM (SELECT DISTINCT CASE WHEN lsn > 0 THEN lsn ELSE 0 END AS lsn, lower(trim(op)) AS op, key, CASE WHEN lsn > 0 THEN NULL ELSE ts END AS ts FROM keyspace_event) d JOIN routed r USING (key) GROUP BY ALL)"""
+
 ORACLE = {
     "kv01_create": _with_log("SELECT lsn, key, accepted FROM v WHERE op = 'create'"),
     "kv02_read": _with_log("SELECT lsn, key, accepted AS hit, round(value_after, 6) AS value FROM v WHERE op = 'read'"),
@@ -271,9 +294,13 @@ ORACLE = {
     "kv16_exists": _with_log("SELECT count(*) AS hits FROM orders WHERE CAST(o_custkey AS VARCHAR) IN (SELECT key FROM state)"),
     "kv17_expire": f"WITH {SNAP} SELECT key, epoch_ms(CASE WHEN key IN (SELECT key FROM keyspace_event WHERE lower(trim(op)) = 'expire') THEN TIMESTAMP '{NOW}' + INTERVAL 60 SECOND ELSE expire_at END) AS expire_ms FROM snap",
     "ev01_lru": f"WITH {TOUCH} SELECT *, row_number() OVER (PARTITION BY shard ORDER BY last_seq DESC, key) <= {CAPACITY} AS hot FROM t",
+    "ev01_lru_all": f"WITH {TOUCH_ALL} SELECT *, row_number() OVER (PARTITION BY shard ORDER BY last_seq DESC, key) <= {CAPACITY} AS hot FROM t",
     "ev02_lfu": f"WITH {TOUCH} SELECT *, row_number() OVER (PARTITION BY shard ORDER BY freq DESC, last_seq DESC, key) <= {CAPACITY} AS hot FROM t",
+    "ev02_lfu_all": f"WITH {TOUCH_ALL} SELECT *, row_number() OVER (PARTITION BY shard ORDER BY freq DESC, last_seq DESC, key) <= {CAPACITY} AS hot FROM t",
     "ev03_touch": f"WITH {TOUCH} SELECT * FROM t",
+    "ev03_touch_all": f"WITH {TOUCH_ALL} SELECT * FROM t",
     "ev04_spill": f"WITH {TOUCH} SELECT shard, CASE WHEN p <= {CAPACITY} THEN 'hot' ELSE 'cold' END AS tier, count(*) AS keys FROM (SELECT shard, row_number() OVER (PARTITION BY shard ORDER BY last_seq DESC, key) AS p FROM t) GROUP BY ALL",
+    "ev04_spill_all": f"WITH {TOUCH_ALL} SELECT shard, CASE WHEN p <= {CAPACITY} THEN 'hot' ELSE 'cold' END AS tier, count(*) AS keys FROM (SELECT shard, row_number() OVER (PARTITION BY shard ORDER BY last_seq DESC, key) AS p FROM t) GROUP BY ALL",
     "ev05_index": "SELECT key, row_number() OVER (ORDER BY key) AS place FROM (SELECT DISTINCT key FROM keyspace_event)",
     "rt01_hash_tag": r"SELECT DISTINCT key, CASE WHEN regexp_matches(key, '^[^{]*\{[^}]+\}') THEN regexp_extract(key, '^[^{]*\{([^}]+)\}', 1) ELSE key END AS material FROM keyspace_event WHERE shard IS NOT NULL",
     "rt01_all_keys": r"SELECT DISTINCT key, CASE WHEN regexp_matches(key, '^[^{]*\{[^}]+\}') THEN regexp_extract(key, '^[^{]*\{([^}]+)\}', 1) ELSE key END AS material FROM keyspace_event",
@@ -285,6 +312,7 @@ ORACLE = {
     "jn01_mget": f"WITH {SNAP} SELECT key, value FROM snap WHERE key IN (SELECT key FROM ops)",
     "jn03_ring_lookup": f"WITH {_routed(4, 'SELECT CAST(c_custkey AS VARCHAR) AS key FROM customer')} SELECT key, shard FROM routed",
     "jn04_read_through": f"WITH {TOUCH} SELECT key, CASE WHEN row_number() OVER (PARTITION BY shard ORDER BY last_seq DESC, key) <= {CAPACITY} THEN 'hot' ELSE 'cold' END AS tier FROM t QUALIFY key IN (SELECT key FROM ops)",
+    "jn04_read_through_all": f"WITH {TOUCH_ALL} SELECT key, CASE WHEN row_number() OVER (PARTITION BY shard ORDER BY last_seq DESC, key) <= {CAPACITY} THEN 'hot' ELSE 'cold' END AS tier FROM t QUALIFY key IN (SELECT key FROM ops)",
     "st01_changes": _with_log("SELECT lsn, op, key FROM v WHERE accepted AND op <> 'read'"),
     "st08_keyspace": _with_log("SELECT CASE WHEN op = 'delete' THEN 'del' ELSE 'set' END AS op, key, lsn FROM v WHERE accepted AND op <> 'read'"),
     "st09_channels": _with_log("""SELECT * FROM (SELECT 'keyspace' AS channel, count(*) AS events FROM v WHERE accepted AND op <> 'read' UNION ALL SELECT 'keyspace:set', count(*) FROM v WHERE accepted AND op NOT IN ('read', 'delete')

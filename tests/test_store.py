@@ -151,6 +151,18 @@ def test_keys_without_a_known_shard_are_routed(spark, tmp_path):
     assert {r.shard: r["keys"] for r in got["rt04_all_keys"]} == Counter(shards.values())
 
 
+def test_uses_without_an_lsn_count(spark, tmp_path):
+    rows = [("a", "set", 5, 1.0), ("a", "expire", 5, 1.0), ("a", " SET", 5, 2.0), ("b", "set", 0, 1.0), ("b", "SET ", 0, 1.0), ("b", "set", 0, 2.0), ("b", "set", None, None), ("c", "set", 0, 3.0), ("c", "set", 9, 3.0)]
+    spark.createDataFrame([(*r, None) for r in rows], "key string, op string, lsn long, ts double, shard int").write.parquet(f"{tmp_path}/keyspace_event.parquet")
+    spark.createDataFrame([("b",), ("x",)], "key string").write.parquet(f"{tmp_path}/ops.parquet")
+    ask = lambda n: store.QUERIES[n](spark, str(tmp_path)).collect()
+    want = {"a": (2, 5), "b": (3, 0), "c": (2, 9)}
+    for n in ("ev01_lru_all", "ev02_lfu_all", "ev03_touch_all"):
+        assert {r.key: (r.freq, r.last_seq) for r in ask(n)} == want, n
+    assert sum(r["keys"] for r in ask("ev04_spill_all")) == 3
+    assert [(r.key, r.tier) for r in ask("jn04_read_through_all")] == [("b", "hot")]
+
+
 def test_reads(spark):
     st = spark.createDataFrame([("foo", "1", None), ("foo2", "2", None), ("bar", "3", None), ("fop", "4", None), ("a", "5", None), ("c", "6", None), (None, "7", None)], "key string, value string, expire_at timestamp")
     keys = spark.createDataFrame([("a",), ("c",), ("x",), ("a",), (None,)], "key string")
