@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ledgerfold.functions import codec, text
 from ledgerfold.operators import access, aicache, cdc, metrics, ratelimit, reads, replication, routing
 from ledgerfold.plans.problems import _REPLAY
-from ledgerfold.plans.store import CRC, FOLD, LOG, NOW, SHARDS, SNAP, now, snapshot
+from ledgerfold.plans.store import CRC, FOLD, LOG, NOW, SHARDS, SNAP, _routed, now, snapshot
 from ledgerfold.runtime import work_dir
 from ledgerfold.sources.config import Settings
 from ledgerfold.sources.oplog import numbered
 from ledgerfold.sources.snapshot import Snapshots, from_lines, to_lines
 from ledgerfold.sources.tables import plain_op, table
-from ledgerfold.sources.tier import ColdTier
+from ledgerfold.sources.tier import ColdTier, as_objects
 from ledgerfold.sources.wal import Log
 from ledgerfold.streaming import live
 
@@ -130,6 +130,12 @@ def _status(spark: SparkSession, folder: str) -> DataFrame:
     return replication.log_status(starts, LOG_FROM)
 
 
+def _object_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Checksum and object id of every key of the snapshot, expired or not."""
+    keys = table(spark, folder, "state_snapshot").select("key", F.lit(None).cast("string").alias("value"), F.lit(None).cast("double").alias("ttl")).distinct()
+    return as_objects(keys, F.lit(0.0)).select("key", routing.key_hash(F.col("key")).alias("crc"), "object_id")
+
+
 def _source(spark: SparkSession, folder: str) -> DataFrame:
     acks = table(spark, folder, "follower_ack")
     return replication.read_from(replication.lag(acks), acks, 100)
@@ -237,6 +243,7 @@ QUERIES = {
     "sc03_cache_key": lambda s, f: _asked(s, f).select("doc_id", "cache_key"),
     "sc04_codec": _codec,
     "sc06_object_id": lambda s, f: table(s, f, "nation").select("n_name", F.crc32(F.col("n_name").cast("binary")).alias("crc"), F.sha2("n_name", 256).alias("sha")),
+    "sc06_object_keys": _object_keys,
     "sc07_base64": lambda s, f: table(s, f, "documents").select("doc_id", text.base64_text(F.col("text").cast("binary")).alias("b64")),
     "sc08_number": lambda s, f: table(s, f, "ops").select("delivery_id", text.json_as_number(F.col("value")).alias("num")),
     "sc11_ttl": lambda s, f: table(s, f, "part").select("p_partkey", text.ttl_seconds(F.when(F.col("p_size") % 3 == 0, "EX").when(F.col("p_size") % 3 == 1, "px").otherwise("NX"), F.col("p_size").cast("string")).alias("seconds")),
@@ -311,6 +318,7 @@ ORACLE = {
     "sc03_cache_key": f"SELECT doc_id, {_KEY} AS cache_key FROM documents",
     "sc04_codec": "SELECT doc_id, coalesce(length(text) >= 1024, false) AS compressed, true AS whole FROM documents",
     "sc06_object_id": f"WITH hashed AS (SELECT n_name AS k, 0 AS shard FROM nation), {CRC} SELECT k AS n_name, h AS crc, sha256(k) AS sha FROM crc",
+    "sc06_object_keys": f"WITH {_routed(1, 'SELECT key FROM state_snapshot')} SELECT a.key, c.h AS crc, sha256(a.key) AS object_id FROM asked a JOIN crc c ON c.k = a.material AND c.shard < 0",
     "sc07_base64": "SELECT doc_id, base64(encode(text)) AS b64 FROM documents",
     "sc08_number": r"""SELECT delivery_id, try_cast(CASE WHEN regexp_full_match(value, '\s*-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?\s*') THEN value WHEN regexp_full_match(value, '"\s*[0-9.eE+_-]+\s*"') THEN trim(value, '" ') END AS DOUBLE) AS num FROM ops""",
     "sc11_ttl": "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN CAST(p_size AS DOUBLE) WHEN 1 THEN p_size / 1000.0 END AS seconds FROM part",

@@ -1,12 +1,15 @@
+import hashlib
 import json
 import random
 import statistics
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import codec, text
 from ledgerfold.operators import access, aicache, metrics, ratelimit, replication
+from ledgerfold.plans import service
 from ledgerfold.sources.config import Settings
 from ledgerfold.sources.oplog import numbered
 from ledgerfold.sources.snapshot import Snapshots, from_lines, to_lines
@@ -125,6 +128,13 @@ def test_replication(spark):
     assert replication.read_from(replication.lag(acks.where("follower = 'f'")), names.where("follower = 'f'"), 5).first().source == "leader"
 
 
+def test_object_ids_of_the_snapshot(spark, tmp_path):
+    keys = ["user:{42}:a", "ключ", "", "gone", "gone"]
+    spark.createDataFrame([(k, "1", "2020-01-01 00:00:00") for k in keys], "key string, value string, expire_at string").write.parquet(f"{tmp_path}/state_snapshot.parquet")
+    got = sorted((r.key, r.crc, r.object_id) for r in service.QUERIES["sc06_object_keys"](spark, str(tmp_path)).collect())
+    assert got == sorted((k, zlib.crc32(("42" if "{42}" in k else k).encode()), hashlib.sha256(k.encode()).hexdigest()) for k in set(keys))
+
+
 def test_log_rotation_and_bad_lines(spark, tmp_path):
     log = Log(spark, f"file://{tmp_path}/log")
     assert log.entries().count() == 0 and log.last() == 0
