@@ -32,15 +32,12 @@ _LINE = re.compile(r"\n(?!   \S)")
 _HEADED = re.compile(r"\s*ABSTRACT\r?\n(?![ \t\r]*\n)")
 _CLAIM = re.compile(r"(?:【請求項|\[청구항 ?|【청구항 ?|(?<![\w.,])(?=[0-9]))([0-9]{1,3})(?:[】\]]| ?[.．、)-](?=[ \t]*[^\W\d]|[ \t]*[(\[\"「“«]))")
 _SEQUENCE = re.compile(r"(?<!\S)SEQ ID NO")
-_SPAN = re.compile(
-    r'"[^"]{0,400}"|«[^«»]{0,400}»|„[^“”„]{0,400}[“”]|“[^“”]{0,400}”|「[^「」]{0,400}」|『[^『』]{0,400}』'
-    r"|\((?:[^()]|\([^()]{0,200}\)){0,400}\)|（[^（）]{0,400}）|\[[^\[\]]{0,200}\]|【[^【】]{0,200}】"
-)
+_QUOTE = re.compile(r'["«»„“”「」『』()（）\[\]【】]')
+_OPENER = {"»": "«", "」": "「", "』": "『", ")": "(", "）": "（", "]": "[", "】": "【"}
 #: A text in which letters came through as question marks, and quotations there.
 _LOST = re.compile(r"[A-Za-z]\?[a-z]")
-_LOST_SPAN = re.compile(
-    _SPAN.pattern + r"|(?<=[^\s.!?:] )\?(?!C\b)(?=[^\W\d_a-z])[^\n]{0,120}?[\w.!]\?(?=[ ,.;])|(?<=[^\s.!?] )\? [^\n?]{1,40}?(?:\?[^\n?]{1,40}?){0,6}?[.!] \?(?= )"
-)
+#: Quotations whose marks were lost too: what closes one also ends questions, so no more than this is taken for one.
+_LOST_SPAN = re.compile(r"(?<=[^\s.!?:] )\?(?!C\b)(?=[^\W\d_a-z])[^\n]{0,120}?[\w.!]\?(?=[ ,.;])|(?<=[^\s.!?] )\? [^\n?]{1,40}?(?:\?[^\n?]{1,40}?){0,6}?[.!] \?(?= )")
 _AT = re.compile(r"[.!?…؟।。！？．][^\w\s\[(„«「『“（【]*")
 _WIDE_MARKS = "。！？．"
 _BARE_BLANK = re.compile(rf"(?<=[{BARE}]) +(?=[{BARE}])")
@@ -137,6 +134,48 @@ class Model:
         return out[::-1]
 
 
+def _spans(flat: str, lo: int, hi: int, lost: bool = False) -> list[tuple[int, int]]:
+    """Quoted and bracketed stretches of ``flat[lo:hi]`` that lie in no other, in order.
+
+    A mark goes with the one that closes it, however far off; one that nothing
+    closes opens no stretch. Where marks were ``lost``, stretches between question
+    marks are guessed, up to the bound of ``_LOST_SPAN``.
+    """
+    closed: dict[int, int] = {}
+    open_at: dict[str, list[int]] = {}
+    straight = -1
+    for m in _QUOTE.finditer(flat, lo, hi):
+        i, ch = m.start(), m.group()
+        if ch == '"':
+            if straight >= 0:
+                closed[straight] = i + 1
+            straight = i
+            continue
+        at = open_at.setdefault(_OPENER.get(ch, "“" if ch in "„“”" else ch), [])
+        if ch in _OPENER or ch == "”" or (ch == "“" and at and flat[at[-1]] == "„"):
+            if at:
+                closed[at.pop()] = i + 1
+        else:
+            at.append(i)
+    starts = sorted(closed)
+    out: list[tuple[int, int]] = []
+    end, k = lo, 0
+    guess = _LOST_SPAN.search(flat, lo, hi) if lost else None
+    while True:
+        while k < len(starts) and starts[k] < end:
+            k += 1
+        if guess and guess.start() < end:
+            guess = _LOST_SPAN.search(flat, end, hi)
+        if guess and (k == len(starts) or guess.start() < starts[k]):
+            end = guess.end()
+            out.append((guess.start(), end + 2 * flat[end + 1 : end + 2].islower()))
+        elif k < len(starts):
+            end = closed[starts[k]]
+            out.append((starts[k], end))
+        else:
+            return out
+
+
 def places(flat: str, lo: int, hi: int, lost: bool) -> list[tuple[int, tuple[str, bool, str]]]:
     """Places in ``flat[lo:hi]`` where a unit could begin, quoted and bracketed stretches left out, with what tells about each."""
     ends = []
@@ -157,7 +196,7 @@ def places(flat: str, lo: int, hi: int, lost: bool) -> list[tuple[int, tuple[str
         ends = sorted(marks.union(ends))
     if not ends:
         return []
-    spans = [(m.start(), m.end() + 2 * (flat[m.start()] == "?" and flat[m.end() + 1 : m.end() + 2].islower())) for m in (_LOST_SPAN if lost else _SPAN).finditer(flat, lo, hi)]
+    spans = _spans(flat, lo, hi, lost)
     out = []
     at, n = 0, len(spans)
     for e in ends:
@@ -186,7 +225,7 @@ def places(flat: str, lo: int, hi: int, lost: bool) -> list[tuple[int, tuple[str
 def _claims_inside(flat: str, lo: int, hi: int) -> list[int]:
     """Starts of claims 1, 2, ... that run on within one line: for each number the last place before the next claim."""
     found: dict[int, list[int]] = {}
-    spans = [(m.start(), m.end()) for m in _SPAN.finditer(flat, lo, hi)]
+    spans = _spans(flat, lo, hi)
     at, n = 0, len(spans)
     for m in _CLAIM.finditer(flat, lo, hi):
         p = m.start()

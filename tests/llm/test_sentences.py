@@ -80,6 +80,18 @@ def test_lost_letters():
     assert units(" ".join(one)) == one
 
 
+@pytest.mark.parametrize("marks", ['""', "“”", "„“", "«»", "「」", "()", "[]", "（）"])
+def test_long_quotations_and_remarks_stay_in_their_sentence(marks):
+    inner = "The valve opens slowly. The rotor then stops. " * 30
+    text = ["The manual reads " + marks[0] + inner + "The end" + marks[1] + " in red letters.", "Then the display " + marks[0] + "Ready. Go." + marks[1] + " is shown.", "The rotor stops."]
+    assert units(" ".join(text)) == text
+
+
+def test_remarks_in_remarks_and_marks_that_nothing_closes():
+    text = ["The valve (see (a (b (c. The rotor stops.) d) e) f) opens slowly.", "The rotor ( stops.", "The valve opens."]
+    assert units(" ".join(text)) == text
+
+
 @pytest.mark.parametrize("text", [None, "", "   ", "\n\n\t 　"])
 def test_no_text_no_units(text):
     assert segment(text, Model.stored()) == []
