@@ -9,7 +9,7 @@ as constraints of the decoding.
 
 The weights come from texts that are laid out with one sentence a line
 (:mod:`ledgerfold.llm.train_sentences`); scripts without end marks are learned
-with punctuation stripped.
+as they are written.
 """
 
 from __future__ import annotations

@@ -1,10 +1,12 @@
-"""Fit the sentence model: python -m ledgerfold.llm.train_sentences FOLDER.
+"""Fit the sentence model: python -m ledgerfold.llm.train_sentences FOLDER [WEIGHTS].
 
 Labelled rows are texts laid out with one sentence a line: no blank lines, and
 no line with a place that is plainly between two sentences. Their lines, run
 together, give sequences whose true boundaries are known; they are used once more
 with their non-ASCII letters lost, as some texts come. At most ``MOST_ROWS``
-such texts are used, in order of a hash of their id; every tenth is held out.
+such texts are used, in order of a hash of their id; every tenth is held out
+before any text is left out of training, and all of it is measured. Scripts
+without end marks are learned as they are written.
 The fit is an averaged structured perceptron with Viterbi decoding.
 """
 
@@ -105,24 +107,29 @@ def fit(data: list[tuple[list[tuple[str, bool, str]], list[int]]], seed: int = 7
     return Model({f: w for f, w in weights.items() if w}, [[round(x / t, 3) for x in row] for row in moves_sum])
 
 
-def main(folder: str) -> None:
+def fitted(texts: list[list[tuple[list, list[int]]]]) -> tuple[Model, list, list]:
+    """The model, the texts that it was fitted on and the held-out tenth, which is set aside first and left whole."""
+    held, train = texts[::10], [text for i, text in enumerate(texts) if i % 10]
+    for _ in range(ROUNDS):  # a text that still has a boundary within a line was not laid out one sentence a line
+        model = fit([d for text in train for d in text])
+        train = [text for text in train if not any(g > h for keys, gold in text for g, h in zip(model.tags(keys), gold, strict=True))]
+    return fit([d for text in train for d in text]), train, held
+
+
+def main(folder: str, out: str | None = None) -> None:
     rows = pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
     rows.sort(key=lambda r: hashlib.md5(str(r["doc_id"]).encode()).hexdigest())
     kept = [runs for r in rows if (runs := labelled(r["text"]))][:MOST_ROWS]
     texts = [[d for run in runs + damaged(runs) if (d := sequence(run))[0]] for runs in kept]
-    for _ in range(ROUNDS):  # a text that still has a boundary within a line was not laid out one sentence a line
-        model = fit([d for i, text in enumerate(texts) if i % 10 for d in text])
-        texts = [text for text in texts if not any(g > h for keys, gold in text for g, h in zip(model.tags(keys), gold, strict=True))]
-    train = [d for i, text in enumerate(texts) if i % 10 for d in text]
-    test = [d for i, text in enumerate(texts) if not i % 10 for d in text]
-    model = fit(train)
-    wrong = [(k, g) for keys, gold in test for k, g, h in zip(keys, gold, model.tags(keys), strict=True) if g != h]
-    print(f"{len(texts)} of {len(kept)} labelled texts, {sum(len(k) for k, _ in train)} places; held out: {len(wrong)} wrong of {sum(len(k) for k, _ in test)}; {len(model.weights)} weights, moves {model.moves}")
+    model, train, held = fitted(texts)
+    wrong = [(k, g) for text in held for keys, gold in text for k, g, h in zip(keys, gold, model.tags(keys), strict=True) if g != h]
+    places_in = lambda some: sum(len(k) for text in some for k, _ in text)
+    print(f"{len(texts)} labelled texts, {len(held)} held out, {len(texts) - len(held) - len(train)} removed from training, {places_in(train)} places; held out: {len(wrong)} wrong ({sum(not g for _, g in wrong)} inside, {sum(g for _, g in wrong)} boundaries) of {places_in(held)}; {len(model.weights)} weights, moves {model.moves}")
     for w in wrong[:40]:
         print("  ", w)
-    out = {"moves": model.moves, "weights": dict(sorted(model.weights.items()))}
-    Path(__file__).with_name("sentence_weights.json").write_text(json.dumps(out, ensure_ascii=False, indent=0), "utf-8")
+    raw = {"moves": model.moves, "weights": dict(sorted(model.weights.items()))}
+    (Path(out) if out else Path(__file__).with_name("sentence_weights.json")).write_text(json.dumps(raw, ensure_ascii=False, indent=0), "utf-8")
 
 
 if __name__ == "__main__":
-    main(sys.argv[1])
+    main(*sys.argv[1:3])

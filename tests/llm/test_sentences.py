@@ -133,6 +133,19 @@ def test_tables_with_nulls_copies_and_clashing_names(spark):
     assert sentence_units(df.where("false")).count() == 0
 
 
+def test_held_out_texts_are_not_filtered(monkeypatch):
+    from ledgerfold.llm import train_sentences as training
+
+    class Eager:
+        tags = staticmethod(lambda keys: [1] * len(keys))
+
+    fits = []
+    monkeypatch.setattr(training, "fit", lambda data: fits.append(len(data)) or Eager())
+    texts = [[([("x.", False, str(i))], [i % 2])] for i in range(40)]
+    _, train, held = training.fitted(texts)
+    assert held == texts[::10] and [t[0][1][0] for t in train] == [1] * 20 and fits == [36, 20, 20]
+
+
 def test_held_out_accuracy():
     pq = pytest.importorskip("pyarrow.parquet")
     import hashlib
