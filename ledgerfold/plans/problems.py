@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerfold.operators import cdc, dedupe, heavyhitters, hotkeys, incremental
 from ledgerfold.runtime import work_dir
-from ledgerfold.sources.tables import plain_op, table, table_stream
+from ledgerfold.sources.tables import plain_op, table, table_parts, table_stream
 
 
 def _due(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,9 +23,13 @@ def _intervals(spark: SparkSession, folder: str) -> DataFrame:
 
 def _copies_of(spark: SparkSession, folder: str, name: str) -> DataFrame:
     ids, columns = dedupe.message_ids(name)
-    rows = table_stream(spark, folder, name).select("delivery_id", *columns, dedupe.event_seconds(name).alias("seconds"))
+    told = ["delivery_id", *columns, dedupe.event_seconds(name).alias("seconds")]
     store = dedupe.SeenStore(spark, work_dir(spark, f"seen-{name}"), ids, "delivery_id", F.col("seconds"), dedupe.message_slot())
-    store.run(rows)
+    parts = table_parts(spark, folder, name, "batch_id")
+    for batch, part in enumerate(parts):  # a file stream would hand one file over whole
+        store.process(part.select(*told), batch)
+    if not parts:
+        store.run(table_stream(spark, folder, name).select(*told))
     return store.copies()
 
 

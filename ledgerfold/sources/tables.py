@@ -17,7 +17,7 @@ def table_stream(spark: SparkSession, folder: str, name: str, triggers: int = 3,
     """The same table as a file stream, taken in at least ``triggers`` steps where it has that many files.
 
     A step also ends at ``bytes_per_trigger``, which is what bounds it in production.
-    A table that is one file comes in one step.
+    A table that is one file comes in one step; :func:`table_parts` cuts it.
     """
     path = f"{folder}/{name}.parquet"
     batch = spark.read.parquet(path)
@@ -29,6 +29,19 @@ def table_stream(spark: SparkSession, folder: str, name: str, triggers: int = 3,
     return reader.option("maxBytesPerTrigger", str(step)).parquet(path)
 
 
+def table_parts(spark: SparkSession, folder: str, name: str, by: str, parts: int = 3) -> list[DataFrame]:
+    """A table that is one file in up to ``parts`` ranges of the whole number ``by``, rising, NULL in the first; empty for a table of several files."""
+    if not SharedFiles(spark).is_file(f"{folder}/{name}.parquet"):
+        return []
+    rows = table(spark, folder, name)
+    lo, hi = rows.agg(F.min(by), F.max(by)).first()
+    if lo is None:
+        return [rows]
+    width = -(-(hi - lo + 1) // parts)
+    place = F.coalesce(F.floor((F.col(by) - lo) / width), F.lit(0))
+    return [rows.where(place == k) for k in range((hi - lo) // width + 1)]
+
+
 def _bytes(text: str) -> int:
     unit = {"k": 10, "m": 20, "g": 30, "t": 40}.get(text[-1].lower())
     return int(text[:-1]) << unit if unit else int(text)

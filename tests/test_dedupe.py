@@ -30,6 +30,18 @@ def some_rows(n, seed):
     return rows
 
 
+def test_one_file_comes_in_several_batches(spark, data, monkeypatch):
+    from ledgerfold.plans import problems
+
+    seen = []
+    process = dedupe.SeenStore.process
+    monkeypatch.setattr(dedupe.SeenStore, "process", lambda self, rows, batch: (seen.append((batch, rows.count())), process(self, rows, batch)))
+    copies = problems._copies_of(spark, data, "ops")
+    rows = spark.read.parquet(f"{data}/ops.parquet")
+    assert [b for b, _ in seen] == [0, 1, 2] and all(n for _, n in seen) and sum(n for _, n in seen) == rows.count()
+    assert copies.count() == rows.count() - rows.select(*dedupe.message_ids("ops")[1]).distinct().count()
+
+
 def test_any_batches_any_order(spark, tmp_path):
     rows = some_rows(300, 1)
     for name, order in (("in order", rows), ("shuffled", random.Random(2).sample(rows, len(rows)))):
