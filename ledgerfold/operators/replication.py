@@ -80,11 +80,21 @@ def fresh_enough(lag_lsn: Column, age_ms: Column, max_lag: int, max_age: float)
     return ok
 
 
-def read_from(lags: DataFrame, followers: DataFrame, max_lag: int = 0) -> DataFrame:
-    """``(stream, follower, lag_lsn, source)``: the follower with least lag (ties by name) answers reads if it is fresh enough, else the leader.
-
-    ``followers`` are ``(stream, follower)``; one without a known lag has 0.
+def read_from(lags: DataFrame, followers: DataFrame, max_lag: int = 0, max_age: float = 0.0, mode: str = "auto", strategy: str = "least_lag", seed: int | None = None) -> DataFrame:
+    """``(stream, follower, lag_lsn, source, fallback)``: the follower that is picked answers reads if it is fresh enough, else the leader.
+
+    ``strategy`` random picks any follower (by ``seed``, if given), any other the
+    one with least lag (ties by name). ``mode`` auto, follower or empty tries the
+    follower; leader and unknown modes read from the leader and pick none.
+    ``fallback`` is ``stale_or_error`` where the follower picked was refused, else
+    NULL. ``followers`` are ``(stream, follower)``; one without a known lag has 0.
+    ``lags`` may have ``last_applied_age_ms``, else ages count as 0.
     """
-    known = followers.select("stream", "follower").distinct().join(lags.select("stream", "follower", "lag_lsn"), ["stream", "follower"], "left").fillna(0, ["lag_lsn"])
-    best = known.groupBy("stream").agg(F.min(F.struct("lag_lsn", "follower")).alias("b")).select("stream", "b.follower", "b.lag_lsn")
-    return best.withColumn("source", F.when(fresh_enough(F.col("lag_lsn"), F.lit(0.0), max_lag, 0.0), "follower").otherwise("leader"))
+    if mode.lower() not in ("", "auto", "follower"):
+        return followers.select("stream").distinct().select("stream", F.lit(None).cast("string").alias("follower"), F.lit(None).cast("long").alias("lag_lsn"), F.lit("leader").alias("source"), F.lit(None).cast("string").alias("fallback"))
+    age = F.col("last_applied_age_ms") if "last_applied_age_ms" in lags.columns else F.lit(0.0)
+    known = followers.select("stream", "follower").distinct().join(lags.select("stream", "follower", "lag_lsn", age.alias("age_ms")), ["stream", "follower"], "left").fillna(0, ["lag_lsn"])
+    first = F.rand(seed) if strategy.lower() == "random" else F.col("lag_lsn")
+    best = known.withColumn("first", first).groupBy("stream").agg(F.min(F.struct("first", "follower", "lag_lsn", "age_ms")).alias("b")).select("stream", "b.follower", "b.lag_lsn", "b.age_ms")
+    fresh = fresh_enough(F.col("lag_lsn"), F.col("age_ms"), max_lag, max_age)
+    return best.select("stream", "follower", "lag_lsn", F.when(fresh, "follower").otherwise("leader").alias("source"), F.when(~fresh, "stale_or_error").alias("fallback"))

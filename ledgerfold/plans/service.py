@@ -138,7 +138,7 @@ def _object_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 def _source(spark: SparkSession, folder: str) -> DataFrame:
     acks = table(spark, folder, "follower_ack")
-    return replication.read_from(replication.lag(acks), acks, 100)
+    return replication.read_from(replication.lag(acks), acks, 100).drop("fallback")
 
 
 def _fresh(spark: SparkSession, folder: str) -> DataFrame:

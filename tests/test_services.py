@@ -128,6 +128,17 @@ def test_replication(spark):
     assert replication.read_from(replication.lag(acks.where("follower = 'f'")), names.where("follower = 'f'"), 5).first().source == "leader"
 
 
+def test_read_modes_strategies_and_fallback(spark):
+    lags = spark.createDataFrame([("s", "f", 9, 10.0), ("s", "g", 2, 900.0)], "stream string, follower string, lag_lsn long, last_applied_age_ms double")
+    read = lambda *a, **k: tuple(replication.read_from(lags, lags, *a, **k).first())
+    assert read(5) == read(5, mode="FOLLOWER") == read(5, mode="") == ("s", "g", 2, "follower", None)
+    assert read(5, 100.0) == ("s", "g", 2, "leader", "stale_or_error")
+    assert read(1) == ("s", "g", 2, "leader", "stale_or_error")
+    assert read(5, mode="leader") == read(5, mode="other") == ("s", None, None, "leader", None)
+    picked = {read(5, strategy="random", seed=n) for n in range(20)}
+    assert picked == {("s", "g", 2, "follower", None), ("s", "f", 9, "leader", "stale_or_error")}
+
+
 def test_object_ids_of_the_snapshot(spark, tmp_path):
     keys = ["user:{42}:a", "ключ", "", "gone", "gone"]
     spark.createDataFrame([(k, "1", "2020-01-01 00:00:00") for k in keys], "key string, value string, expire_at string").write.parquet(f"{tmp_path}/state_snapshot.parquet")
