@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 #: Letters of scripts that write sentences without end marks.
 BARE = "ก-๛ກ-ໟ"
 _BLANK_LINE = re.compile(r"\n[ \t\r]*\n|\n(?=SEQ ID NO)")
-_LINE = re.compile(r"\n(?!   \S)")
+_LINE = re.compile(r"\n(?![ \t]+\S)")
 _HEADED = re.compile(r"\s*ABSTRACT\r?\n(?![ \t\r]*\n)")
-_CLAIM = re.compile(r"(?:【請求項|\[청구항 ?|【청구항 ?|(?<![\w.,])(?=[0-9]))([0-9]{1,3})(?:[】\]]| ?[.．、)-](?=[ \t]*[^\W\d]|[ \t]*[(\[\"「“«]))")
+_CLAIM = re.compile(r"(?:【請求項|\[청구항 ?|【청구항 ?|(?<![\w.,])(?=[0-9]))([0-9]+)(?:[】\]]| ?[.．、)-](?=[ \t]*[^\W\d]|[ \t]*[(\[\"「“«]))")
 _SEQUENCE = re.compile(r"(?<!\S)SEQ ID NO")
 _QUOTE = re.compile(r'["«»„“”「」『』()（）\[\]【】]')
 _OPENER = {"»": "«", "」": "「", "』": "『", ")": "(", "）": "（", "]": "[", "】": "【"}
@@ -38,24 +38,34 @@ _OPENER = {"»": "«", "」": "「", "』": "『", ")": "(", "）": "（", "]":
 _LOST = re.compile(r"[A-Za-z]\?[a-z]")
 #: Quotations whose marks were lost too: what closes one also ends questions, so no more than this is taken for one.
 _LOST_SPAN = re.compile(r"(?<=[^\s.!?:] )\?(?!C\b)(?=[^\W\d_a-z])[^\n]{0,120}?[\w.!]\?(?=[ ,.;])|(?<=[^\s.!?] )\? [^\n?]{1,40}?(?:\?[^\n?]{1,40}?){0,6}?[.!] \?(?= )")
-_AT = re.compile(r"[.!?…؟।。！？．][^\w\s\[(„«「『“（【]*")
-_WIDE_MARKS = "。！？．"
+_AT = re.compile(r"[.!?…؟।॥۔።፧։。！？．។៕။༎][^\w\s\[(„«「『“（【]*")
+#: End marks that need no blank after them.
+_WIDE_MARKS = "。！？．។៕။༎"
+#: End marks of scripts that the labelled texts don't have, as marks of the same use that they have.
+_SAME_MARK = str.maketrans({"॥": "।", "۔": ".", "።": "।", "፧": "?", "։": "।", "។": "。", "៕": "。", "။": "。", "༎": "。"})
+#: End marks with no blank between two sentences; an abbreviation's single letter before them is none.
+_GLUED = re.compile(r"(?<!(?<![^\W_])[^\W\d_])(?<=[^\s_.!?…(\[„«“])[.!?…]+[)\]\"”»]*(?=[A-Za-zÀ-\u0dff])(?=[^\W\d_]{2}|A[ -])")
 _BARE_BLANK = re.compile(rf"(?<=[{BARE}]) +(?=[{BARE}])")
 _GOES_ON = ";；:：,，、"
-_PARAGRAPH = re.compile(r"\[[0-9]{4}\]")
+_PARAGRAPH = re.compile(r"\[[0-9]{4,}\]|【[0-9０-９]{4,}】")
 _OTHER_BLANK = re.compile(r"[\t\x0b\x0c\x1c-\x1f\x85\u1680\u2000-\u200a\u2028\u2029\u202f\u205f]")
 _DIGITS = re.compile(r"[0-9０-９]+")
-_WIDTH = 14
+#: What holds of a place besides the words around it: question marks may stand for lost letters; no blank parts the words.
+LOST, GLUED = 1, 2
+Key = tuple[str, int, str]
+_OPENING = "(\"«„“「（[¿¡'"
 _CLOSERS = "\"»”’')]）」』"
-_MARKS = _CLOSERS + ".!?…؟।。！？．"
+_MARKS = _CLOSERS + ".!?…؟।॥۔።፧։。！？．។៕။༎"
+#: Titles, whose full stop parts them from the name and ends no sentence.
+_TITLES = frozenset("mr mrs ms dr prof gen col maj capt cpt lt sgt rev hon sen rep gov sr sra srta dra mme mlle mgr hr frl проф акад डॉ श्री د".split())
 
 
 def _class(ch: str) -> str:
     o = ord(ch)
     if ch.isdigit():
         return "0"
-    if 0x3040 <= o <= 0x30FF or 0x3400 <= o <= 0x9FFF:
-        return "h"
+    if 0x3040 <= o <= 0x30FF or 0x3400 <= o <= 0x9FFF or 0x0F00 <= o <= 0x109F or 0x1780 <= o <= 0x17FF:
+        return "h"  # scripts that write without blanks but with end marks
     if 0x0E01 <= o <= 0x0EDF:
         return "t"
     if 0xAC00 <= o <= 0xD7A3:
@@ -69,14 +79,15 @@ def _class(ch: str) -> str:
     return ch
 
 
-def features(before: str, lost: bool, after: str) -> list[str]:
-    """Features of a place between ``before`` (ending in the end marks, if any) and ``after``; ``lost`` if question marks also stand for lost letters."""
+def features(before: str, how: int, after: str) -> list[str]:
+    """Features of a place between ``before`` (ending in the end marks, if any) and ``after``; see :func:`places` for ``how``."""
+    before = before.translate(_SAME_MARK)
     core = before.rstrip(_MARKS)
     marks = before[len(core) :]
     end = marks.lstrip(_CLOSERS)[:1]
-    if lost and end == "?":
+    if how & LOST and end == "?":
         end, marks = "L", "L" + marks
-    core = core.lstrip("(\"«„“「（[¿¡'")
+    core = core.lstrip(_OPENING)
     last, first = (_class(core[-1]) if core else "-"), _class(after[0])
     bare = first in "ht" or last in "ht"
     word = "" if bare else core.lower()
@@ -86,7 +97,7 @@ def features(before: str, lost: bool, after: str) -> list[str]:
     out = [f"e{end}|{first}", f"e{end}|{last}|{first}", f"m{marks}|{first}", f"k{kind}|{end}|{first}", f"k{kind}|{end}|{first}{second}", f"c{core[-1:]}|{end}|{first}", f"x{marks[-1:]}|{first}"]
     if not bare:
         out += [f"w{word}|{end}", f"w{word}|{first}", f"n{end[:1] == 'L'}{nxt}", f"w{word}|n{nxt}"]
-    return out
+    return ["G" + f for f in out] if how & GLUED else out
 
 
 class Model:
@@ -94,7 +105,7 @@ class Model:
 
     def __init__(self, weights: dict[str, float], moves: list[list[float]]):
         self.weights, self.moves = weights, moves
-        self._known: dict[tuple[str, bool, str], float] = {}
+        self._known: dict[Key, float] = {}
 
     @classmethod
     @cache
@@ -102,20 +113,20 @@ class Model:
         raw = json.loads(resources.files("ledgerfold.llm").joinpath("sentence_weights.json").read_text("utf-8"))
         return cls(raw["weights"], raw["moves"])
 
-    def score(self, key: tuple[str, bool, str]) -> float:
+    def score(self, key: Key) -> float:
         s = self._known.get(key)
         if s is None:
             w = self.weights
-            before, lost, after = key
-            plain = (_DIGITS.sub("0", before), lost, _DIGITS.sub("0", after))
+            before, how, after = key
+            plain = (_DIGITS.sub("0", before), how, _DIGITS.sub("0", after))
             s = self._known.get(plain)
             if s is None:
                 s = sum(w.get(f, 0.0) for f in features(*plain))
-            if len(self._known) < 500_000:
+            if len(self._known) < 500_000 and len(before) + len(after) < 100:  # memory only; the score is the same
                 self._known[key] = self._known[plain] = s
         return s
 
-    def tags(self, keys: list[tuple[str, bool, str]]) -> list[int]:
+    def tags(self, keys: list[Key]) -> list[int]:
         """Best tags by Viterbi, 1 for boundary."""
         (ii, ib), (bi, bb) = self.moves
         inside, bound = 0.0, -1e9
@@ -176,49 +187,58 @@ def _spans(flat: str, lo: int, hi: int, lost: bool = False) -> list[tuple[int, i
             return out
 
 
-def places(flat: str, lo: int, hi: int, lost: bool) -> list[tuple[int, tuple[str, bool, str]]]:
-    """Places in ``flat[lo:hi]`` where a unit could begin, quoted and bracketed stretches left out, with what tells about each."""
+def places(flat: str, lo: int, hi: int, lost: bool) -> list[tuple[int, Key]]:
+    """Places in ``flat[lo:hi]`` where a unit could begin, quoted and bracketed stretches left out, with what tells about each.
+
+    That is the word before with its end marks, ``LOST`` and ``GLUED`` as they hold,
+    and the word after. A word reaches to the next blank or place, so all words
+    together are read once, however long they are.
+    """
     ends = []
     for m in _AT.finditer(flat, lo, hi):
         e = m.end()
         if e < hi and (flat[e] == " " or flat[m.start()] in _WIDE_MARKS):
             ends.append(e)
+    glued = {m.end() for m in _GLUED.finditer(flat, lo, hi) if not (lost and "?" in m.group())}
+    more = set(glued)
     if not flat.isascii():
-        more = [m.start() for m in _BARE_BLANK.finditer(flat, lo, hi)]
-        ends = sorted({*ends, *more}) if more else ends
-    marks = set()
+        more.update(m.start() for m in _BARE_BLANK.finditer(flat, lo, hi))
     for m in _PARAGRAPH.finditer(flat, lo + 1, hi):
         e = m.start()
         while e > lo and flat[e - 1] == " ":
             e -= 1
-        marks.add(e)
-    if marks:
-        ends = sorted(marks.union(ends))
+        more.add(e)
+    if more:
+        ends = sorted(more.union(ends))
     if not ends:
         return []
     spans = _spans(flat, lo, hi, lost)
     out = []
-    at, n = 0, len(spans)
-    for e in ends:
+    at, n, known = 0, len(spans), lo
+    for k, e in enumerate(ends):
         p = e
         while p < hi and flat[p] == " ":
             p += 1
         if p >= hi or e <= lo:
             continue
+        since, known = known, p
         while at < n and spans[at][1] <= p:
             at += 1
         if at < n and spans[at][0] < p:
             continue
-        before = flat[max(lo, e - _WIDTH) : e]
-        before = before[before.rfind(" ") + 1 :]
-        after = flat[p : min(hi, p + _WIDTH)]
-        cut = after.find(" ")
-        if cut >= 0:
-            after = after[:cut]
+        before = flat[max(since, flat.rfind(" ", since, e) + 1) : e]
+        j = k + 1
+        while j < len(ends) and ends[j] <= p:
+            j += 1
+        until = ends[j] if j < len(ends) else hi
+        cut = flat.find(" ", p, until)
+        after = flat[p : until if cut < 0 else cut]
         if after[0] > "\u0e00" or before[:1] > "\u0e00":  # words there have no blanks around them, so less of them is told
             core = before.rstrip(_MARKS)
             before, after = core[-2:] + before[len(core) :], after[:2]
-        out.append((p, (before, lost, after)))
+        if before.endswith(".") and before[:-1].lstrip(_OPENING).lower() in _TITLES or lost and before.endswith("?") and after[0].islower():
+            continue
+        out.append((p, (before, LOST * lost + GLUED * (e in glued), after)))
     return out
 
 
@@ -233,8 +253,11 @@ def _claims_inside(flat: str, lo: int, hi: int) -> list[int]:
             at += 1
         if at < n and spans[at][0] < p:
             continue
-        head = flat[max(lo, p - 9) : p].rstrip()
-        if not head or head[-1] in _MARKS or m.group()[0] == "[" or ord(m.group()[0]) > 127 or BARE[0] <= head[-1] <= BARE[-1]:
+        h = p
+        while h > lo and flat[h - 1] == " ":
+            h -= 1
+        head = flat[h - 1 : h] if h > lo else ""
+        if not head or head in _MARKS or m.group()[0] == "[" or ord(m.group()[0]) > 127 or BARE[0] <= head <= BARE[-1]:
             found.setdefault(int(m.group(1)), []).append(p)
     for n in sorted(found, reverse=True):
         end, chain = hi, []

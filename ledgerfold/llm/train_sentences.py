@@ -22,11 +22,13 @@ from pathlib import Path
 
 import pyarrow.parquet as pq
 
-from ledgerfold.llm.sentences import _CLAIM, _DIGITS, _LOST, BARE, Model, _flat, features, places
+from ledgerfold.llm.sentences import _CLAIM, _DIGITS, _GLUED, _LOST, BARE, Key, Model, _flat, features, places
 
 #: Bound of the labelled sample.
 MOST_ROWS = 16000
 EPOCHS = 8
+#: One pair of sentences in so many is run together without a blank.
+GLUE_EACH = 4
 #: Rounds of fitting after which texts that turn out to have another layout are left out.
 ROUNDS = 2
 #: Lines without an end mark that are shorter than this are titles or headings (not in scripts that have no end marks).
@@ -54,16 +56,17 @@ def labelled(text: str) -> list[list[str]]:
     return [r for r in runs if len(r) > 1]
 
 
-def sequence(run: list[str]) -> tuple[list[tuple[str, bool, str]], list[int]]:
-    """Places of a run of sentences, and which of them are boundaries."""
+def sequence(run: list[str]) -> tuple[list[Key], list[int]]:
+    """Places of a run of sentences, and which of them are boundaries. Every ``GLUE_EACH``-th pair has no blank between, as some texts come."""
     glue = "" if re.search(r"[぀-ヿ一-鿿]", run[0]) and not re.search(r"[가-힣]", run[0]) else " "
     flat, true = "", set()
-    for s in run:
-        flat += glue if flat else ""
+    for i, s in enumerate(run):
+        bare = (i + len(run[0])) % GLUE_EACH == 0 and _GLUED.search(flat[-3:] + s[:3])
+        flat += ("" if bare else glue) if flat else ""
         true.add(len(flat))
         flat += _flat(s)
     found = list(places(flat, 0, len(flat), _LOST.search(flat) is not None))
-    return [(_DIGITS.sub("0", before), lost, _DIGITS.sub("0", after)) for _, (before, lost, after) in found], [int(p in true) for p, _ in found]
+    return [(_DIGITS.sub("0", before), how, _DIGITS.sub("0", after)) for _, (before, how, after) in found], [int(p in true) for p, _ in found]
 
 
 def damaged(runs: list[list[str]]) -> list[list[str]]:
@@ -73,7 +76,7 @@ def damaged(runs: list[list[str]]) -> list[list[str]]:
     return out if _LOST.search("".join(map("".join, out))) and sum(c > "\x7f" for c in text) < 0.1 * len(text) else []
 
 
-def fit(data: list[tuple[list[tuple[str, bool, str]], list[int]]], seed: int = 7) -> Model:
+def fit(data: list[tuple[list[Key], list[int]]], seed: int = 7) -> Model:
     total: dict[str, float] = defaultdict(float)
     last: dict[str, int] = defaultdict(int)
     model = Model(defaultdict(float), [[0.0, 0.0], [0.0, 0.0]])

@@ -157,11 +157,40 @@ def test_held_out_accuracy():
     rows = pq.read_table(path, columns=["doc_id", "text"]).to_pylist()
     rows.sort(key=lambda r: hashlib.md5(str(r["doc_id"]).encode()).hexdigest())
     texts = [runs for r in rows if (runs := labelled(r["text"]))]
-    right = total = 0
+    found = right = true = 0
     for keys, gold in (sequence(run) for runs in texts for run in runs):
         got = Model.stored().tags(keys)
-        if any(g > h for g, h in zip(got, gold, strict=True)):
-            continue  # not laid out one sentence a line after all
-        right += sum(g == h for g, h in zip(got, gold, strict=True))
-        total += len(gold)
-    assert total > 500 and right / total > 0.995
+        found, right, true = found + sum(got), right + sum(g & h for g, h in zip(got, gold, strict=True)), true + sum(gold)
+    # Of all texts that the layout rule takes; some of those have several sentences in a line, which count as wrong here.
+    assert true > 500 and right / true > 0.999 and right / found > 0.93
+
+
+def test_no_blank_between_sentences():
+    text = ["The rotor turns in said chamber 181.", "As for this, the latch opens, e.g. by 3 mm at 9 a.m. or so..", "Moreover, R1...Rn = 0.12 holds."]
+    assert units("".join(text)) == text
+    assert units("It cools (not shown).The gap is 3 mm.") == ["It cools (not shown).", "The gap is 3 mm."]
+
+
+def test_titles_and_marks_of_other_scripts():
+    assert units("We met Prof. Smith and (Gen. Lee) in Rome. They were late.") == ["We met Prof. Smith and (Gen. Lee) in Rome.", "They were late."]
+    for text in (["ខ្ញុំទៅផ្សារ។", "គាត់មក។"], ["ငါသွားသည်။", "သူလာသည်။"]):
+        assert units("".join(text)) == text
+
+
+def test_numbers_of_any_length_and_any_indent():
+    claims = [f"{n}. A device according to claim {n - 1}." if n > 1 else "1. A device:\n      a rotor;\n\ta valve." for n in range(1, 1203)]
+    text = "\n".join(["Title", "CLAIMS", *claims])
+    assert units(text) == ["Title", "CLAIMS", *claims]
+    assert units("[00123] The rotor turns. It stops. [00124] The valve opens.") == ["[00123] The rotor turns.", "It stops.", "[00124] The valve opens."]
+
+
+def test_work_is_linear_in_long_words_and_texts():
+    import time
+
+    for piece in ("abc def. ", "x.Ab", "あいう。", "[0001]  "):
+        took = []
+        for n in (20_000, 160_000):
+            began = time.perf_counter()
+            segment(piece * n, Model.stored())
+            took.append(time.perf_counter() - began)
+        assert took[1] < 24 * took[0] + 1
