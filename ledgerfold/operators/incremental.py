@@ -7,17 +7,35 @@ failed run), and commits the grown intervals together with its output.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerfold.runtime import SharedFiles
+from ledgerfold.runtime import SharedFiles, work_dir
 
 #: Interval merging works on aligned blocks of 2**BLOCK_BITS numbers, so that no task ever sorts all intervals of one consumer.
 BLOCK_BITS = 12
-#: Consumers per mask word (a long without its sign bit).
-WORD = 63
+#: Numbers are looked up in intervals by equality on cells of 2**CELL_BITS numbers; disjoint intervals have at most half as many pieces in a cell.
+CELL_BITS = 4
+#: Runs after which the ledger is written anew as one table; until then it is the last such table and what each run since has added.
+COMPACT_EACH = 16
+
+
+def _blocks(lo: Column | str, hi: Column | str, bits: int) -> Column:
+    """Numbers of the aligned blocks that ``[lo, hi]`` touches."""
+    return F.sequence(F.shiftright(lo, bits), F.shiftright(hi, bits))
+
+
+def _cut(df: DataFrame, keys: list[str], lo: str, hi: str, bits: int, name: str = "block") -> DataFrame:
+    """``(keys, name, lo, hi)``: the intervals cut at the edges of aligned blocks. Long ones are cut into large blocks first, so that no row holds a long array."""
+    rows = df.where(F.col(lo) <= F.col(hi)).select(*keys, F.col(lo).cast("long").alias("lo"), F.col(hi).cast("long").alias("hi"))
+    for step in (bits + 28, bits + 14, bits):
+        size = 1 << step
+        rows = rows.select(*keys, "lo", "hi", F.explode(_blocks("lo", "hi", step)).alias(name))
+        rows = rows.select(*keys, name, F.greatest("lo", F.col(name) * size).alias("lo"), F.least("hi", F.col(name) * size + (size - 1)).alias("hi"))
+    return rows
 
 
 def merge_intervals(df: DataFrame, keys: list[str], lo: str, hi: str, block_bits: int = BLOCK_BITS) -> DataFrame:
@@ -27,14 +45,7 @@ def merge_intervals(df: DataFrame, keys: list[str], lo: str, hi: str, block_bits
     start, a window partition holds at most ``2**block_bits`` rows, whatever the
     skew or repetition of the input. Rows with a NULL bound or ``lo > hi`` are empty.
     """
-    size = 1 << block_bits
-    cut = (
-        df.where(F.col(lo) <= F.col(hi))
-        .select(*keys, F.col(lo).alias("lo"), F.col(hi).alias("hi"), F.explode(F.sequence(F.shiftright(lo, block_bits), F.shiftright(hi, block_bits))).alias("block"))
-        .select(*keys, "block", F.greatest("lo", F.col("block") * size).alias("lo"), F.least("hi", F.col("block") * size + (size - 1)).alias("hi"))
-        .groupBy(*keys, "block", "lo")
-        .agg(F.max("hi").alias("hi"))
-    )
+    cut = _cut(df, keys, lo, hi, block_bits).groupBy(*keys, "block", "lo").agg(F.max("hi").alias("hi"))
     w = Window.partitionBy(*keys, "block").orderBy("lo")
     reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
     islands = cut.withColumn("starts", F.when(F.col("lo") <= reach + 1, 0).otherwise(1)).withColumn("island", F.sum("starts").over(w))
@@ -69,101 +80,152 @@ def processed_intervals(acks: DataFrame, keys: list[str], lo: str = "batch_from"
     return merge_intervals(acks.where(F.col(ok)), keys, lo, hi)
 
 
-def consumers(acks: DataFrame, stream: str) -> list[str]:
-    """Names of the consumers of ``stream``, sorted. There are as many as programs that subscribe, not as data."""
-    return [r[0] for r in acks.where((F.col("stream") == stream) & F.col("follower").isNotNull()).select("follower").distinct().orderBy("follower").collect()]
+def within(rows: DataFrame, at: str, intervals: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """``rows`` once for each of ``intervals`` that ``at`` lies in, with its ``keys``.
 
-
-def covered_batches(intervals: DataFrame, names: list[str], lo: str = "batch_from", hi: str = "batch_to") -> DataFrame:
-    """One row per batch that someone processed: ``batch_id`` and mask words ``m0, m1, ...`` with a bit per consumer in ``names``."""
-    place = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])[F.col("follower")]
-    batches = intervals.select(place.alias("place"), F.explode(F.sequence(lo, hi)).alias("batch_id"))
-    words = range(-(-len(names) // WORD))
-    return batches.groupBy("batch_id").agg(*[F.bit_or(_bit(F.col("place"), w)).alias(f"m{w}") for w in words])
-
-
-def _bit(place: Column, word: int) -> Column:
-    inside = (place >= word * WORD) & (place < (word + 1) * WORD)
-    return F.when(inside, F.expr(f"shiftleft(1L, cast(place - {word * WORD} as int))")).otherwise(F.lit(0).cast("long"))
+    Disjoint intervals are cut into cells, so this is a join by equality whose
+    matches differ in their keys; NULL lies in no interval. Neither side is sent whole.
+    """
+    cells = _cut(intervals, keys, lo, hi, CELL_BITS, "__cell").withColumnsRenamed({"lo": "__lo", "hi": "__hi"})
+    found = rows.withColumn("__cell", F.shiftright(at, CELL_BITS)).join(cells, "__cell")
+    return found.where(F.col(at).between(F.col("__lo"), F.col("__hi"))).drop("__cell", "__lo", "__hi")
 
 
-def unprocessed(feed: DataFrame, message: list[str], acks: DataFrame, stream: str) -> DataFrame:
-    """``(stream, follower, lsn)`` that each consumer's next run has to take.
+def due(feed: DataFrame, message: list[str], gaps: DataFrame, processed: DataFrame, keys: list[str], at: str = "batch_id") -> DataFrame:
+    """``(keys, message)`` of messages that lie in a gap of a consumer and have no copy in what it has processed.
 
-    ``feed`` has ``batch_id``, ``lsn`` and the columns ``message`` (``lsn`` among
-    them) that tell messages apart; NULL equals NULL there. A message is done for
-    a consumer if any delivered copy lies in a processed interval, an lsn is due
-    if any of its messages is not done. Rows with lsn NULL or below 1 are no
-    messages; a NULL ``batch_id`` lies in no run. A consumer without a successful
-    run is due everything. Other columns of ``feed`` are ignored.
-
-    Consumers are bits of a mask, so rows are never multiplied by consumers;
-    copies and messages are reduced by ``bit_or`` and ``bit_and`` before each
-    shuffle, so an lsn with very many copies or messages stays small.
+    ``feed`` has ``at`` and the columns ``message`` that tell messages apart; NULL
+    equals NULL there. Only rows in gaps are taken further: their messages are
+    looked up once among all delivered copies, and copies that the consumer has processed take them out again.
     """
-    names = consumers(acks, stream)
-    if not names:
-        return feed.sparkSession.createDataFrame([], "stream string, follower string, lsn long")
-    words = range(-(-len(names) // WORD))
-    done = covered_batches(processed_intervals(acks.where(F.col("stream") == stream), ["follower"]), names)
-    rows = feed.where(F.col("lsn") > 0).select("batch_id", *message)
-    masked = rows.join(done, "batch_id", "left").select(*message, *[F.coalesce(f"m{w}", F.lit(0).cast("long")).alias(f"m{w}") for w in words])
-    if message != ["lsn"]:
-        masked = masked.groupBy(*message).agg(*[F.bit_or(f"m{w}").alias(f"m{w}") for w in words])
-        per_lsn = masked.groupBy("lsn").agg(*[F.bit_and(f"m{w}").alias(f"m{w}") for w in words])
-    else:
-        per_lsn = masked.groupBy("lsn").agg(*[F.bit_or(f"m{w}").alias(f"m{w}") for w in words])
-    everyone = [(1 << min(WORD, len(names) - w * WORD)) - 1 for w in words]
-    some = F.lit(False)
-    for w in words:
-        some = some | (F.col(f"m{w}") != F.lit(everyone[w]).cast("long"))
-    missing = F.array_compact(F.array(*[F.when(F.expr(f"(m{i // WORD} & shiftleft(1L, {i % WORD})) = 0"), F.lit(n)) for i, n in enumerate(names)]))
-    return per_lsn.where(some).select(F.lit(stream).alias("stream"), F.explode(missing).alias("follower"), "lsn")
+    taken = within(feed.select(at, *message), at, gaps, keys).groupBy(*keys, *message).agg(F.lit(1).alias("__t"))
+    same = lambda a, b, columns: [a[c].eqNullSafe(b[c]) for c in columns]
+    asked = taken.groupBy(*message).agg(F.lit(1).alias("__a")).alias("a")
+    copies = feed.select(at, *message).alias("f").join(asked, [F.col(f"f.{c}").eqNullSafe(F.col(f"a.{c}")) for c in message], "left_semi")
+    seen = within(copies, at, processed, keys).groupBy(*keys, *message).agg(F.lit(1).alias("__s")).alias("s")
+    left = taken.alias("t").join(seen, [F.col(f"t.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*keys, *message]], "left_anti")
+    return left.select(*keys, *message)
 
 
 class IncrementalJob:
-    """A consumer whose runs take only unprocessed sequence numbers and commit exactly once.
+    """Consumers whose runs take only unprocessed sequence numbers and commit exactly once.
 
     ``root`` (on shared storage) holds run folders and one small ``commit-N.json``
-    per successful run. Output and merged intervals are written first; the rename
-    of the commit file makes both visible at once. A run that dies before it
-    leaves nothing visible, and its numbers are taken again by the next.
+    per successful run. A run's output and the intervals that it adds are written
+    first, to a folder of its own; the rename of the commit file, which fails if
+    another run has that number, makes both visible at once. A run that dies or
+    loses leaves nothing visible, and its numbers are taken again by the next;
+    :meth:`clean` deletes such leftovers. ``keys`` are the columns of the ledger that name a
+    consumer; none for a single one.
     """
 
-    def __init__(self, spark: SparkSession, root: str, seq: str = "lsn"):
-        self.spark, self.root, self.seq = spark, root.rstrip("/"), seq
+    def __init__(self, spark: SparkSession, root: str, seq: str = "lsn", keys: list[str] | None = None, kinds: str = ""):
+        self.spark, self.root, self.seq, self.keys = spark, root.rstrip("/"), seq, list(keys or [])
+        self._schema = ", ".join([*([kinds or ", ".join(f"`{k}` string" for k in self.keys)] if self.keys else []), "lo long, hi long"])
         self._files = SharedFiles(spark)
 
-    def _commits(self) -> list[dict]:
-        names = [n for n in self._files.names(self.root) if n.startswith("commit-")]
-        return [self._files.read_json(f"{self.root}/{n}") for n in sorted(names)]
+    def _names(self) -> list[str]:
+        return [n for n in self._files.names(self.root) if n.startswith("commit-")]
+
+    def _last(self) -> dict:
+        names = self._names()
+        return self._files.read_json(f"{self.root}/{names[-1]}") if names else {"run": -1, "ledger": []}
+
+    def _ledger(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(self._schema).parquet(*paths) if paths else self.spark.createDataFrame([], self._schema)
 
     def intervals(self) -> DataFrame:
-        """Processed sequence numbers as disjoint intervals ``(lo, hi)``, cut at block edges."""
-        commits = self._commits()
-        if not commits:
-            return self.spark.createDataFrame([], "lo long, hi long")
-        return self.spark.read.schema("lo long, hi long").parquet(commits[-1]["intervals"])
-
-    def pending(self, feed: DataFrame) -> DataFrame:
-        """Sequence numbers ``lo`` of ``feed`` that lie in no processed interval; NULL numbers are left out."""
+        """Processed sequence numbers as disjoint intervals ``(keys, lo, hi)``, cut at block edges."""
+        return merge_intervals(self._ledger(self._last()["ledger"]), self.keys, "lo", "hi")
+
+    def gaps(self, available: DataFrame) -> DataFrame:
+        """Parts of ``available`` ``(keys, lo, hi)`` that no run has processed."""
+        return subtract_intervals(available, self._ledger(self._last()["ledger"]), self.keys, "lo", "hi")
+
+    def available(self, feed: DataFrame) -> DataFrame:
+        """What is there of ``feed`` as intervals ``(lo, hi)``: its numbers, NULL left out. Only this column is read."""
         numbers = feed.where(F.col(self.seq).isNotNull()).select(F.col(self.seq).cast("long").alias("lo")).distinct()
-        gaps = subtract_intervals(numbers.withColumn("hi", F.col("lo")), self.intervals(), [], "lo", "hi")
-        return gaps.select(F.explode(F.sequence("lo", "hi")).alias("lo"))
+        return merge_intervals(numbers.withColumn("hi", F.col("lo")), [], "lo", "hi")
+
+    def commit(self, write: Callable[[str], dict], added: DataFrame | None) -> int:
+        """One run: ``write`` puts its output below the folder that it is given; then ``added`` intervals and output are committed. The number of the run."""
+        last = self._last()
+        n = last["run"] + 1
+        folder = f"{self.root}/run-{n:09d}-{uuid.uuid4().hex[:12]}"
+        more = write(folder)
+        ledger = list(last["ledger"])
+        if added is not None:
+            merge_intervals(added, self.keys, "lo", "hi").select(*self.keys, "lo", "hi").write.parquet(f"{folder}/added")
+            ledger.append(f"{folder}/added")
+        if len(ledger) > COMPACT_EACH:
+            merge_intervals(self._ledger(ledger), self.keys, "lo", "hi").select(*self.keys, "lo", "hi").write.parquet(f"{folder}/ledger")
+            ledger = [f"{folder}/ledger"]
+        self._files.commit_json(f"{self.root}/commit-{n:09d}.json", {"run": n, "ledger": ledger, "folder": folder} | more)
+        return n
+
+    def seed(self, processed: DataFrame) -> int:
+        """Take over what was processed elsewhere, as a run without output."""
+        return self.commit(lambda folder: {}, processed)
 
     def run(self, feed: DataFrame, work: Callable[[DataFrame], DataFrame]) -> int:
-        """Process what is pending with ``work`` and commit it; the number of the run."""
-        n = len(self._commits())
-        folder = f"{self.root}/run-{n:09d}"
-        self._files.delete(folder)  # of a run that died
-        self.pending(feed).write.parquet(f"{folder}/taken")
-        taken = self.spark.read.schema("lo long").parquet(f"{folder}/taken")
-        work(feed.join(taken, F.col(self.seq) == taken["lo"], "left_semi")).write.parquet(f"{folder}/output")
-        merge_intervals(self.intervals().unionByName(taken.withColumn("hi", F.col("lo"))), [], "lo", "hi").write.parquet(f"{folder}/intervals")
-        self._files.commit_json(f"{self.root}/commit-{n:09d}.json", {"run": n, "output": f"{folder}/output", "intervals": f"{folder}/intervals"})
-        return n
+        """Process the rows of ``feed`` that are pending with ``work`` and commit; the number of the run. For jobs of one consumer."""
+        gaps = self._written(self.gaps(self.available(feed)))
+        lo, hi = gaps.agg(F.min("lo"), F.max("hi")).first()
+        rows = feed.where(F.col(self.seq).between(lo, hi)) if lo is not None else feed.where("false")  # reaches the scan
+
+        def write(folder: str) -> dict:
+            work(within(rows, self.seq, gaps, [])).write.parquet(f"{folder}/output")
+            return {"output": f"{folder}/output"}
+
+        return self.commit(write, gaps)
+
+    def run_messages(self, feed: DataFrame, message: list[str], consumers: DataFrame) -> int:
+        """One run of each of ``consumers`` over the messages of ``feed``: see :func:`due`. Output has the messages that it took, with the consumer's ``keys``."""
+        ends = feed.agg(F.min(self.seq).alias("lo"), F.max(self.seq).alias("hi")).first()
+        available = consumers.select(*self.keys).distinct().select(*self.keys, F.lit(ends[0]).cast("long").alias("lo"), F.lit(ends[1]).cast("long").alias("hi"))
+        gaps = self._written(self.gaps(available))
+
+        def write(folder: str) -> dict:
+            due(feed, message, gaps, self._ledger(self._last()["ledger"]), self.keys, self.seq).write.parquet(f"{folder}/output")
+            return {"output": f"{folder}/output"}
+
+        return self.commit(write, gaps)
+
+    def _written(self, gaps: DataFrame) -> DataFrame:
+        path = work_dir(self.spark, "gaps")
+        gaps.write.parquet(path)
+        return self.spark.read.schema(gaps.schema).parquet(path)
 
     def output(self) -> DataFrame | None:
         """Output of all committed runs; None before the first."""
-        paths = [c["output"] for c in self._commits()]
+        runs = (self._files.read_json(f"{self.root}/{n}") for n in self._names())
+        paths = [c["output"] for c in runs if "output" in c]
         return self.spark.read.parquet(*paths) if paths else None
+
+    def clean(self) -> None:
+        """Delete the folders of runs that never committed. Only while no run is under way."""
+        kept = {self._files.read_json(f"{self.root}/{n}")["folder"].rsplit("/", 1)[-1] for n in self._names()}
+        for name in self._files.names(self.root):
+            if name.startswith("run-") and name not in kept:
+                self._files.delete(f"{self.root}/{name}")
+
+
+def unprocessed(feed: DataFrame, message: list[str], acks: DataFrame, stream: str) -> DataFrame:
+    """``(stream, follower, lsn)`` that each consumer's next run has to take: an :class:`IncrementalJob` that takes over the ``acks`` and makes that run.
+
+    ``feed`` has ``batch_id``, ``lsn`` and the columns ``message`` (``lsn`` among
+    them) that tell messages apart; NULL equals NULL there. A message is done for
+    a consumer if any delivered copy lies in a processed interval, an lsn is due
+    if any of its messages is not done. Rows with lsn NULL or below 1 are no
+    messages; a NULL ``batch_id`` lies in no run, so it counts as a batch of its own after
+    all others. A consumer without a successful run is due everything. Other columns of ``feed`` are ignored.
+    """
+    spark = feed.sparkSession
+    own = acks.where((F.col("stream") == stream) & F.col("follower").isNotNull())
+    job = IncrementalJob(spark, work_dir(spark, f"runs-{stream}"), "batch_id", ["follower"])
+    job.seed(own.where("ok").select("follower", F.col("batch_from").alias("lo"), F.col("batch_to").alias("hi")))
+    never = own.agg(F.greatest(F.max("batch_to"), F.lit(0))).first()[0] or 0
+    last = max(never, feed.agg(F.max("batch_id")).first()[0] or 0)
+    rows = feed.where(F.col("lsn") > 0).select(F.coalesce("batch_id", F.lit(last + 1)).cast("long").alias("batch_id"), *message)
+    job.run_messages(rows, message, own)
+    return job.output().select(F.lit(stream).alias("stream"), "follower", "lsn").distinct()

@@ -78,3 +78,31 @@ def test_a_run_that_dies_is_taken_again_and_nothing_twice(spark, tmp_path):
     job.run(rows([1, 2, 3, 4, 5, 6]), lambda df: df)
     assert sorted(r.lsn for r in job.output().collect()) == [1, 2, 3, 4, 5, 6]
     assert spans(job.intervals()) == [(1, 6)]
+
+
+def test_a_long_interval_is_cut_without_a_long_array(spark):
+    df = spark.createDataFrame([(5, 5 + (1 << 34)), (0, 3), (4, 4)], "lo long, hi long")
+    got = inc.merge_intervals(df, [], "lo", "hi", 20)
+    assert got.count() == (1 << 14) + 1
+    assert got.selectExpr("sum(hi - lo + 1)").first()[0] == (1 << 34) + 6
+
+
+def test_ledger_grows_by_what_a_run_adds_and_is_compacted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inc, "COMPACT_EACH", 3)
+    job = inc.IncrementalJob(spark, f"file://{tmp_path}/job")
+    for n in range(8):
+        job.run(spark.createDataFrame([(n,), (n + 100,)], "lsn long"), lambda df: df)
+        assert len(job._last()["ledger"]) <= 4
+    assert spans(job.intervals()) == [(0, 7), (100, 107)]
+    assert sorted(r.lsn for r in job.output().collect()) == [*range(8), *range(100, 108)]
+
+
+def test_of_two_runs_at_once_one_commits(spark, tmp_path):
+    a, b = (inc.IncrementalJob(spark, f"file://{tmp_path}/job") for _ in range(2))
+    feed = spark.createDataFrame([(1,), (2,)], "lsn long")
+    with pytest.raises(FileExistsError):
+        a.run(feed, lambda df: (b.run(feed, lambda x: x), df)[1])
+    assert sorted(r.lsn for r in a.output().collect()) == [1, 2]
+    a.clean()
+    assert len([x for x in (tmp_path / "job").iterdir() if x.name.startswith("run-")]) == 1
+    assert sorted(r.lsn for r in b.output().collect()) == [1, 2]
