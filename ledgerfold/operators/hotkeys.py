@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 #: Dictionary entries a split holds before it hands on its arrays.
 ENTRIES = 500_000
-#: Input rows per array block of the reduction; a block never gets more entries than that from a spread of keys.
-ROWS_PER_BLOCK = 4_000_000
+#: Input rows per array block of the reduction, so a block never gets more keys than that from a spread of keys.
+ROWS_PER_BLOCK = 1_000_000
+#: Keys in one batch of results.
+OUT = 50_000
 
 _PARTIAL = "block int, keys array<string>, n array<bigint>, first array<double>, last array<double>, shard array<int>"
 _RESULT = "key string, shard int, n bigint, first_ts double, last_ts double"
@@ -97,20 +99,22 @@ def _hand_on(dense: _Dense, blocks: int) -> Iterator[pa.RecordBatch]:
     )
 
 
-def _reduce(table: pa.Table) -> pa.Table:
+def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add up the arrays of one block as they come in; only the sum is held."""
     dense = _Dense()
-    flat = {c: pa.chunked_array([x.flatten() for x in table.column(c).chunks]) for c in ("keys", "n", "first", "last", "shard")}
-    at = dense.encode(flat["keys"].to_pylist())
-    dense.add(at, *(flat[c].to_numpy() for c in ("n", "first", "last", "shard")))
-    size = len(dense.codes)
-    first, last, shard = dense.first[:size], dense.last[:size], dense.shard[:size]
-    return pa.table({
-        "key": pa.array(list(dense.codes), pa.string()),
-        "shard": pa.array(shard, pa.int32(), mask=shard < 0),
-        "n": pa.array(dense.n[:size]),
-        "first_ts": pa.array(first, mask=np.isinf(first)),
-        "last_ts": pa.array(last, mask=np.isinf(last)),
-    })
+    for b in batches:
+        flat = {c: b.column(c).flatten() for c in ("keys", "n", "first", "last", "shard")}
+        if len(flat["keys"]):
+            at = dense.encode(flat["keys"].to_pylist())
+            dense.add(at, *(flat[c].to_numpy(zero_copy_only=False) for c in ("n", "first", "last", "shard")))
+    keys = list(dense.codes)
+    for lo in range(0, len(keys), OUT):
+        part = slice(lo, min(lo + OUT, len(keys)))
+        first, last, shard = dense.first[part], dense.last[part], dense.shard[part].astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys[part], pa.string()), pa.array(shard, mask=shard < 0), pa.array(dense.n[part]), pa.array(first, mask=np.isinf(first)), pa.array(last, mask=np.isinf(last))],
+            ["key", "shard", "n", "first_ts", "last_ts"],
+        )
 
 
 def per_key(rows: DataFrame, total: int | None = None) -> DataFrame:
@@ -121,12 +125,16 @@ def per_key(rows: DataFrame, total: int | None = None) -> DataFrame:
     largest, were there several; NULL if there is none). NULL and NaN ``ts`` count as rows but
     not for the first and last ``ts``. A NULL key is a key of its own. No rows, no result.
     ``total``, the number of rows, is counted where not given.
+
+    A block of keys is a partition of the reduction: keys are spread over blocks
+    by a checksum and blocks are not hashed again, so tasks get like amounts. The
+    number of blocks follows the number of rows.
     """
     spark = rows.sparkSession
     total = rows.count() if total is None else total
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // ROWS_PER_BLOCK))
     partial = rows.select("key", F.col("shard").cast("int").alias("shard"), F.col("ts").cast("double").alias("ts")).mapInArrow(_split(blocks), _PARTIAL)
-    return partial.groupBy("block").applyInArrow(_reduce, _RESULT)
+    return partial.repartitionById(blocks, F.col("block")).mapInArrow(_sum_blocks, _RESULT)
 
 
 def per_shard(keys: DataFrame) -> DataFrame:
