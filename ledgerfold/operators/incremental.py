@@ -10,31 +10,32 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.runtime import SharedFiles, work_dir
+from ledgerfold.runtime import SharedFiles, materialize, work_dir
 
 #: Interval merging works on aligned blocks of 2**BLOCK_BITS numbers, so that no task ever sorts all intervals of one consumer.
 BLOCK_BITS = 12
 #: Numbers are looked up in intervals by equality on cells of 2**CELL_BITS numbers; disjoint intervals have at most half as many pieces in a cell.
 CELL_BITS = 4
+#: Cells that are broadcast at most.
+BROADCAST_CELLS = 200_000
 #: Runs after which the ledger is written anew as one table; until then it is the last such table and what each run since has added.
 COMPACT_EACH = 16
 
 
-def _blocks(lo: Column | str, hi: Column | str, bits: int) -> Column:
-    """Numbers of the aligned blocks that ``[lo, hi]`` touches."""
-    return F.sequence(F.shiftright(lo, bits), F.shiftright(hi, bits))
+def _names(columns: list[str]) -> list[str]:
+    return [f"`{c}`" for c in columns]
 
 
 def _cut(df: DataFrame, keys: list[str], lo: str, hi: str, bits: int, name: str = "block") -> DataFrame:
     """``(keys, name, lo, hi)``: the intervals cut at the edges of aligned blocks. Long ones are cut into large blocks first, so that no row holds a long array."""
-    rows = df.where(F.col(lo) <= F.col(hi)).select(*keys, F.col(lo).cast("long").alias("lo"), F.col(hi).cast("long").alias("hi"))
+    k = _names(keys)
+    rows = df.where(f"`{lo}` <= `{hi}`").selectExpr(*k, f"CAST(`{lo}` AS BIGINT) AS lo", f"CAST(`{hi}` AS BIGINT) AS hi")
     for step in (bits + 28, bits + 14, bits):
-        size = 1 << step
-        rows = rows.select(*keys, "lo", "hi", F.explode(_blocks("lo", "hi", step)).alias(name))
-        rows = rows.select(*keys, name, F.greatest("lo", F.col(name) * size).alias("lo"), F.least("hi", F.col(name) * size + (size - 1)).alias("hi"))
+        rows = rows.selectExpr(*k, "lo", "hi", f"explode(sequence(shiftright(lo, {step}), shiftright(hi, {step}))) AS {name}")
+        rows = rows.selectExpr(*k, name, f"greatest(lo, shiftleft({name}, {step})) AS lo", f"least(hi, shiftleft({name}, {step}) + {(1 << step) - 1}L) AS hi")
     return rows
 
 
@@ -45,34 +46,32 @@ def merge_intervals(df: DataFrame, keys: list[str], lo: str, hi: str, block_bits
     start, a window partition holds at most ``2**block_bits`` rows, whatever the
     skew or repetition of the input. Rows with a NULL bound or ``lo > hi`` are empty.
     """
-    cut = _cut(df, keys, lo, hi, block_bits).groupBy(*keys, "block", "lo").agg(F.max("hi").alias("hi"))
-    w = Window.partitionBy(*keys, "block").orderBy("lo")
-    reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    islands = cut.withColumn("starts", F.when(F.col("lo") <= reach + 1, 0).otherwise(1)).withColumn("island", F.sum("starts").over(w))
-    return islands.groupBy(*keys, "block", "island").agg(F.min("lo").alias(lo), F.max("hi").alias(hi)).select(*keys, lo, hi)
+    k = _names(keys)
+    w = f"PARTITION BY {', '.join([*k, 'block'])} ORDER BY lo"
+    cut = _cut(df, keys, lo, hi, block_bits).groupBy(*keys, "block", "lo").agg(F.expr("max(hi) AS hi"))
+    starts = cut.selectExpr("*", f"CASE WHEN lo <= max(hi) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS starts")
+    islands = starts.selectExpr("*", f"sum(starts) OVER ({w}) AS island").groupBy(*keys, "block", "island").agg(F.expr("min(lo) AS lo"), F.expr("max(hi) AS hi"))
+    return islands.selectExpr(*k, f"lo AS `{lo}`", f"hi AS `{hi}`")
 
 
-def subtract_intervals(available: DataFrame, processed: DataFrame, keys: list[str], lo: str, hi: str, block_bits: int = BLOCK_BITS) -> DataFrame:
+def subtract_intervals(available: DataFrame, processed: DataFrame, keys: list[str], lo: str, hi: str, block_bits: int = BLOCK_BITS, disjoint: bool = False) -> DataFrame:
     """Parts of ``available`` that ``processed`` does not cover, cut at block edges.
 
-    Both sides are merged first. Within a block the edges of either side are
+    Both sides are merged first, unless each is ``disjoint`` already. Within a block the edges of either side are
     swept in order, so the work per task is bounded as in :func:`merge_intervals`.
     """
-    size = 1 << block_bits
+    k = _names(keys)
     edges = None
-    for side, df in ((1, available), (-1, processed)):
-        m = merge_intervals(df, keys, lo, hi, block_bits)
-        e = m.select(
-            *keys,
-            F.shiftright(lo, block_bits).alias("block"),
-            F.explode(F.array(F.struct(F.col(lo).alias("at"), F.lit(1).alias("step")), F.struct((F.col(hi) + 1).alias("at"), F.lit(-1).alias("step")))).alias("e"),
-        ).select(*keys, "block", "e.at", F.when(F.lit(side) == 1, F.col("e.step")).otherwise(0).alias("a"), F.when(F.lit(side) == -1, F.col("e.step")).otherwise(0).alias("p"))
+    for side, df in (("1, 0", available), ("0, 1", processed)):
+        m = df if disjoint else merge_intervals(df, keys, lo, hi, block_bits)
+        a, p = side.split(", ")
+        e = _cut(m, keys, lo, hi, block_bits).selectExpr(*k, "block", f"stack(2, lo, {a}, {p}, hi + 1, -{a}, -{p}) AS (at, a, p)")
         edges = e if edges is None else edges.unionByName(e)
-    w = Window.partitionBy(*keys, "block").orderBy("at")
-    at_once = edges.groupBy(*keys, "block", "at").agg(F.sum("a").alias("a"), F.sum("p").alias("p"))
-    swept = at_once.select(*keys, "block", "at", F.sum("a").over(w).alias("in_a"), F.sum("p").over(w).alias("in_p"), F.lead("at").over(w).alias("until"))
-    gaps = swept.where((F.col("in_a") > 0) & (F.col("in_p") == 0) & F.col("until").isNotNull())
-    return merge_intervals(gaps.select(*keys, F.col("at").alias(lo), (F.col("until") - 1).alias(hi)), keys, lo, hi, block_bits).where(F.col(hi) < (F.shiftright(lo, block_bits) + 1) * size)
+    at_once = edges.groupBy(*keys, "block", "at").agg(F.expr("sum(a) AS a"), F.expr("sum(p) AS p"))
+    w = f"OVER (PARTITION BY {', '.join([*k, 'block'])} ORDER BY at)"
+    swept = at_once.selectExpr(*k, "at", f"sum(a) {w} AS in_a", f"sum(p) {w} AS in_p", f"lead(at) {w} AS until")
+    # Both sides being disjoint, no edge lies within a gap, so these are whole.
+    return swept.where("in_a > 0 AND in_p = 0 AND until IS NOT NULL").selectExpr(*k, f"at AS `{lo}`", f"until - 1 AS `{hi}`")
 
 
 def processed_intervals(acks: DataFrame, keys: list[str], lo: str = "batch_from", hi: str = "batch_to", ok: str = "ok") -> DataFrame:
@@ -84,27 +83,28 @@ def within(rows: DataFrame, at: str, intervals: DataFrame, keys: list[str], lo:
     """``rows`` once for each of ``intervals`` that ``at`` lies in, with its ``keys``.
 
     Disjoint intervals are cut into cells, so this is a join by equality whose
-    matches differ in their keys; NULL lies in no interval. Neither side is sent whole.
+    matches differ in their keys; NULL lies in no interval. The cells are counted
+    first: up to ``BROADCAST_CELLS`` they are broadcast, else both sides are shuffled by cell.
     """
+    n = intervals.where(f"`{lo}` <= `{hi}`").agg(F.expr(f"sum(shiftright(`{hi}`, {CELL_BITS}) - shiftright(`{lo}`, {CELL_BITS}) + 1)")).first()[0] or 0
     cells = _cut(intervals, keys, lo, hi, CELL_BITS, "__cell").withColumnsRenamed({"lo": "__lo", "hi": "__hi"})
-    found = rows.withColumn("__cell", F.shiftright(at, CELL_BITS)).join(cells, "__cell")
-    return found.where(F.col(at).between(F.col("__lo"), F.col("__hi"))).drop("__cell", "__lo", "__hi")
+    cells = F.broadcast(cells) if n <= BROADCAST_CELLS else cells.hint("shuffle_hash")
+    found = rows.selectExpr("*", f"shiftright(`{at}`, {CELL_BITS}) AS __cell").join(cells, "__cell")
+    return found.where(f"`{at}` BETWEEN __lo AND __hi").drop("__cell", "__lo", "__hi")
 
 
 def due(feed: DataFrame, message: list[str], gaps: DataFrame, processed: DataFrame, keys: list[str], at: str = "batch_id") -> DataFrame:
     """``(keys, message)`` of messages that lie in a gap of a consumer and have no copy in what it has processed.
 
     ``feed`` has ``at`` and the columns ``message`` that tell messages apart; NULL
-    equals NULL there. Only rows in gaps are taken further: their messages are
+    equals NULL there. Only rows in gaps are taken further: they are written, then their messages are
     looked up once among all delivered copies, and copies that the consumer has processed take them out again.
     """
-    taken = within(feed.select(at, *message), at, gaps, keys).groupBy(*keys, *message).agg(F.lit(1).alias("__t"))
-    same = lambda a, b, columns: [a[c].eqNullSafe(b[c]) for c in columns]
-    asked = taken.groupBy(*message).agg(F.lit(1).alias("__a")).alias("a")
-    copies = feed.select(at, *message).alias("f").join(asked, [F.col(f"f.{c}").eqNullSafe(F.col(f"a.{c}")) for c in message], "left_semi")
-    seen = within(copies, at, processed, keys).groupBy(*keys, *message).agg(F.lit(1).alias("__s")).alias("s")
-    left = taken.alias("t").join(seen, [F.col(f"t.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*keys, *message]], "left_anti")
-    return left.select(*keys, *message)
+    taken = materialize(within(feed.select(at, *message), at, gaps, keys).select(*keys, *message).distinct(), "taken")
+    asked = taken.select(*message).distinct()
+    copies = feed.select(at, *message).alias("f").join(asked.alias("a"), F.expr(" AND ".join(f"f.`{c}` <=> a.`{c}`" for c in message)), "left_semi")
+    seen = within(copies, at, processed, keys).select(*keys, *message)
+    return taken.alias("t").join(seen.alias("s"), F.expr(" AND ".join(f"t.`{c}` <=> s.`{c}`" for c in [*keys, *message])), "left_anti")
 
 
 class IncrementalJob:
@@ -136,11 +136,12 @@ class IncrementalJob:
 
     def intervals(self) -> DataFrame:
         """Processed sequence numbers as disjoint intervals ``(keys, lo, hi)``, cut at block edges."""
-        return merge_intervals(self._ledger(self._last()["ledger"]), self.keys, "lo", "hi")
+        paths = self._last()["ledger"]
+        return self._ledger(paths) if len(paths) < 2 else merge_intervals(self._ledger(paths), self.keys, "lo", "hi")  # each table is merged
 
     def gaps(self, available: DataFrame) -> DataFrame:
-        """Parts of ``available`` ``(keys, lo, hi)`` that no run has processed."""
-        return subtract_intervals(available, self._ledger(self._last()["ledger"]), self.keys, "lo", "hi")
+        """Parts of ``available`` (disjoint ``keys, lo, hi``) that no run has processed."""
+        return subtract_intervals(available, self.intervals(), self.keys, "lo", "hi", disjoint=True)
 
     def available(self, feed: DataFrame) -> DataFrame:
         """What is there of ``feed`` as intervals ``(lo, hi)``: its numbers, NULL left out. Only this column is read."""
@@ -169,7 +170,7 @@ class IncrementalJob:
 
     def run(self, feed: DataFrame, work: Callable[[DataFrame], DataFrame]) -> int:
         """Process the rows of ``feed`` that are pending with ``work`` and commit; the number of the run. For jobs of one consumer."""
-        gaps = self._written(self.gaps(self.available(feed)))
+        gaps = materialize(self.gaps(self.available(feed)), "gaps")
         lo, hi = gaps.agg(F.min("lo"), F.max("hi")).first()
         rows = feed.where(F.col(self.seq).between(lo, hi)) if lo is not None else feed.where("false")  # reaches the scan
 
@@ -179,23 +180,20 @@ class IncrementalJob:
 
         return self.commit(write, gaps)
 
-    def run_messages(self, feed: DataFrame, message: list[str], consumers: DataFrame) -> int:
-        """One run of each of ``consumers`` over the messages of ``feed``: see :func:`due`. Output has the messages that it took, with the consumer's ``keys``."""
-        ends = feed.agg(F.min(self.seq).alias("lo"), F.max(self.seq).alias("hi")).first()
+    def run_messages(self, feed: DataFrame, message: list[str], consumers: DataFrame, ends: tuple[int, int]) -> int:
+        """One run of each of ``consumers`` over the messages of ``feed``, whose numbers lie within ``ends``: see :func:`due`.
+
+        Output has the messages that each took, with its ``keys``.
+        """
         available = consumers.select(*self.keys).distinct().select(*self.keys, F.lit(ends[0]).cast("long").alias("lo"), F.lit(ends[1]).cast("long").alias("hi"))
-        gaps = self._written(self.gaps(available))
+        gaps = materialize(self.gaps(available), "gaps")
 
         def write(folder: str) -> dict:
-            due(feed, message, gaps, self._ledger(self._last()["ledger"]), self.keys, self.seq).write.parquet(f"{folder}/output")
+            due(feed, message, gaps, self.intervals(), self.keys, self.seq).write.parquet(f"{folder}/output")
             return {"output": f"{folder}/output"}
 
         return self.commit(write, gaps)
 
-    def _written(self, gaps: DataFrame) -> DataFrame:
-        path = work_dir(self.spark, "gaps")
-        gaps.write.parquet(path)
-        return self.spark.read.schema(gaps.schema).parquet(path)
-
     def output(self) -> DataFrame | None:
         """Output of all committed runs; None before the first."""
         runs = (self._files.read_json(f"{self.root}/{n}") for n in self._names())
@@ -224,8 +222,8 @@ def unprocessed(feed: DataFrame, message: list[str], acks: DataFrame, stream: st
     own = acks.where((F.col("stream") == stream) & F.col("follower").isNotNull())
     job = IncrementalJob(spark, work_dir(spark, f"runs-{stream}"), "batch_id", ["follower"])
     job.seed(own.where("ok").select("follower", F.col("batch_from").alias("lo"), F.col("batch_to").alias("hi")))
-    never = own.agg(F.greatest(F.max("batch_to"), F.lit(0))).first()[0] or 0
-    last = max(never, feed.agg(F.max("batch_id")).first()[0] or 0)
-    rows = feed.where(F.col("lsn") > 0).select(F.coalesce("batch_id", F.lit(last + 1)).cast("long").alias("batch_id"), *message)
-    job.run_messages(rows, message, own)
+    ends = own.agg(F.max("batch_to")).first()[0] or 0, *(x or 0 for x in feed.agg(F.min("batch_id"), F.max("batch_id")).first())
+    none = max(ends[0], ends[2]) + 1
+    rows = feed.where(F.col("lsn") > 0).select(F.coalesce("batch_id", F.lit(none)).cast("long").alias("batch_id"), *message)
+    job.run_messages(rows, message, own, (ends[1], none))
     return job.output().select(F.lit(stream).alias("stream"), "follower", "lsn").distinct()

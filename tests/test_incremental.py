@@ -106,3 +106,15 @@ def test_of_two_runs_at_once_one_commits(spark, tmp_path):
     a.clean()
     assert len([x for x in (tmp_path / "job").iterdir() if x.name.startswith("run-")]) == 1
     assert sorted(r.lsn for r in b.output().collect()) == [1, 2]
+
+
+def test_cells_that_are_too_many_to_broadcast(spark, monkeypatch):
+    rng = random.Random(8)
+    feed = [(rng.choice([None, *range(40)]), rng.randrange(1, 30), rng.choice(["set", None]), rng.choice(["a", None]), "") for _ in range(400)]
+    acks = [("s", f, lo, lo + rng.randrange(9), True) for f in "fgh" for lo in rng.sample(range(40), 3)]
+    want = due(spark, feed, acks)
+    monkeypatch.setattr(inc, "BROADCAST_CELLS", 0)
+    assert want and due(spark, feed, acks) == want
+    done = {(f, b) for _, f, lo, hi, _ in acks for b in range(lo, hi + 1)}
+    messages = {r[1:4] for r in feed}
+    assert want == sorted({(f, m[0]) for f in "fgh" for m in messages if not any((f, r[0]) in done for r in feed if r[1:4] == m)})
