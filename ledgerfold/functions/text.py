@@ -27,9 +27,18 @@ def json_as_number(value: Column) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """A double as a store prints it: plain decimals between 1e-4 and 1e16, with ``.0`` for whole numbers."""
-    whole = (x == F.floor(x)) & (F.abs(x) < 1e16)
-    return F.when(whole, F.concat(x.cast("decimal(17,0)").cast("string"), F.lit(".0"))).otherwise(x.cast("string"))
+    """A double as a store prints it, in the fewest digits that tell it from others: plain decimals between 1e-4 and 1e16 with at least one place, else ``1.5e-07``; ``inf``, ``-inf`` and ``nan``; NULL stays NULL."""
+    text = x.cast("double").cast("string")
+    plain = F.rtrim(text.try_cast("decimal(38,21)").cast("string"), F.lit("0"))  # 17 digits before the point, and all that a double has after it
+    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    plain = F.when(text.startswith("-") & ~plain.startswith("-"), F.concat(F.lit("-"), plain)).otherwise(plain)  # a negative zero
+    power = F.substring_index(text, "E", -1)
+    digits = F.ltrim(power, F.lit("-"))
+    power = F.concat(F.when(power.startswith("-"), "-").otherwise("+"), F.when(F.length(digits) < 2, "0").otherwise(""), digits)
+    far = F.concat(F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", ""), F.lit("e"), power)
+    size = F.abs(x)
+    odd = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
+    return F.when(odd.isNotNull(), odd).when((x == 0) | ((size >= 1e-4) & (size < 1e16)), plain).when(x.isNotNull(), far)
 
 
 def json_string(text: Column) -> Column:
@@ -54,8 +63,10 @@ def reply_error(text: Column) -> Column:
 
 
 def reply_integer(x: Column) -> Column:
-    """Wire reply: a number, fractions cut off."""
-    return F.concat(F.lit(":"), x.cast("long").cast("string"), F.lit("\r\n"))
+    """Wire reply: a number, fractions cut off, in all its digits; an error where it isn't finite, NULL for NULL."""
+    whole = F.coalesce(F.when(F.abs(x) < 9e18, x.try_cast("long")).cast("string"), x.try_cast("decimal(38,0)").cast("string"), F.format_string("%.0f", x.cast("double")))
+    odd = F.isnan(x.cast("double")) | (F.abs(x) == float("inf"))
+    return F.when(odd, reply_error(F.lit("ERR value is not an integer or out of range"))).when(x.isNotNull(), F.concat(F.lit(":"), whole, F.lit("\r\n")))
 
 
 def reply_bulk(text: Column) -> Column:

@@ -137,5 +137,5 @@ def event_seconds(kind: str) -> Column:
 
 
 def message_slot() -> Column:
-    """Archive slot of a message: its million of lsn, or for messages that were never logged, below 0, the day of its ts."""
-    return F.when(F.col("id_lsn") > 0, F.shiftright("id_lsn", 20)).otherwise(-1 - F.coalesce((F.col("id_ts") / 86400).cast("long"), F.lit(0)))
+    """Archive slot of a message: its million of lsn, or for messages that were never logged, below 0, the day of its ts; a ts that is no day (NaN, infinite, beyond the range) counts as day 0."""
+    return F.when(F.col("id_lsn") > 0, F.shiftright("id_lsn", 20)).otherwise(-1 - F.coalesce((F.col("id_ts") / 86400).try_cast("long"), F.lit(0)))

@@ -57,7 +57,7 @@ def dump(state: DataFrame, now: Column) -> DataFrame:
 
 def load(dumped: DataFrame, now: Column) -> DataFrame:
     """``(shard, key, value, expire_at)`` from a dump: expiry is counted from ``now``."""
-    until = F.timestamp_micros((F.unix_micros(now) + F.col("ttl") * 1e6).cast("long"))
+    until = F.timestamp_micros((F.unix_micros(now) + F.col("ttl") * 1e6).try_cast("long"))
     return dumped.select("shard", "key", "value", F.when(F.col("ttl").isNotNull(), until).alias("expire_at"))
 
 

@@ -112,7 +112,7 @@ _DUE = """
 _REPLAY = r"""
     start AS (SELECT coalesce(max(snapshot_lsn), 0) AS s FROM state_snapshot),
     txn AS (SELECT lsn, arg_min(struct_pack(op := lower(trim(op)), key := key, value := value, delta := delta), delivery_id) AS c FROM ops, start WHERE lsn > s GROUP BY lsn),
-    one AS (SELECT c.key AS key, lsn, c.op AS op, c.value AS value, coalesce(c.delta, try_cast(c.value AS DOUBLE), 1.0) AS delta FROM txn WHERE c.op <> 'mset'),
+    one AS (SELECT c.key AS key, lsn, c.op AS op, CASE WHEN c.op IN ('create', 'update') THEN coalesce(c.value, 'null') ELSE c.value END AS value, coalesce(c.delta, try_cast(c.value AS DOUBLE), 1.0) AS delta FROM txn WHERE c.op <> 'mset'),
     many AS (SELECT u.key AS key, lsn, 'create' AS op, json_extract(doc, concat('/', replace(replace(u.key, '~', '~0'), '/', '~1')))::VARCHAR AS value, 0.0 AS delta
              FROM (SELECT lsn, c.key::JSON AS doc, unnest(json_keys(c.key::JSON)) AS key FROM txn WHERE c.op = 'mset') u),
     snap AS (SELECT key, s AS lsn, 'create' AS op, min(value) AS value, 0.0 AS delta FROM state_snapshot, start GROUP BY key, s),
@@ -157,5 +157,8 @@ ORACLE = {
     "p4_intervals": """SELECT op, key, n, true AS inside FROM (SELECT lower(trim(op)) AS op, key, count(*) AS n, row_number() OVER (PARTITION BY lower(trim(op)) ORDER BY count(*) DESC, key) AS place
         FROM keyspace_event WHERE key IS NOT NULL GROUP BY 1, 2) WHERE place <= 10""",
     "p5_found": f"WITH {_REPLAY} SELECT key, lsn FROM live WHERE alive = 1",
+    "p5_state": f"""WITH {_REPLAY}, ep AS (SELECT *, count(reset) OVER (PARTITION BY key ORDER BY lsn) AS e FROM t), fin AS (SELECT * FROM ep QUALIFY e = max(e) OVER (PARTITION BY key)),
+        held AS (SELECT key, arg_max(value, lsn) FILTER (reset IS NOT NULL) AS value, coalesce(arg_max(num, lsn) FILTER (reset IS NOT NULL AND reset <> 'a'), 0) AS num, sum(delta) FILTER (steps) AS added FROM fin GROUP BY key)
+        SELECT key, CASE WHEN added IS NULL THEN value ELSE CAST(num + added AS VARCHAR) END AS value, lsn FROM live JOIN held USING (key) WHERE alive = 1""",
     "p5_held": f"WITH {_HELD.strip()} SELECT key, lsn, m AS watermark FROM live, mark WHERE alive = 1",
 }

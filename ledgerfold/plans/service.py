@@ -10,7 +10,7 @@ from ledgerfold.operators import access, aicache, cdc, metrics, ratelimit, reads
 from ledgerfold.plans.problems import _REPLAY
 from ledgerfold.plans.store import CRC, FOLD, LOG, NOW, SHARDS, SNAP, _routed, now, snapshot
 from ledgerfold.runtime import work_dir
-from ledgerfold.sources.config import Settings
+from ledgerfold.sources import config
 from ledgerfold.sources.oplog import numbered
 from ledgerfold.sources.snapshot import Snapshots, from_lines, to_lines
 from ledgerfold.sources.tables import plain_op, table
@@ -20,6 +20,9 @@ from ledgerfold.streaming import live
 
 ROOM = 30
 LOG_FROM = 3000
+ENV = {"KV_SHARDS": str(SHARDS), "KV_CAPACITY": "many"}
+CHANGES = ['{"rate_limit": "TRUE", "shards": 3, "snapshot_seconds": "7"}', "no object", '{"snapshot_seconds": "soon"}']
+POLICY_CHANGE = '{"default_policy": {"rps": "2.5"}, "route_policies": {"/kv/scan": {"burst": 3}, "/new": {}, "/healthz": null}}'
 SECRETS = {"admin": ["Customer#000000003"], "writer": ["Customer#000000002", ""], "reader": ["Customer#000000001"]}
 
 
@@ -221,6 +224,11 @@ def _streamed(spark: SparkSession, folder: str) -> DataFrame:
     return live.drain(spark, folder).select("key", F.round("value", 6).alias("value"), "lsn")
 
 
+def _info(spark: SparkSession) -> DataFrame:
+    held = config.resolve(config.layers(spark, ENV)).agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in ("shards", "role")])
+    return held.select(F.lit("ok").alias("status"), F.col("shards").cast("int").alias("shards"), "role")
+
+
 QUERIES = {
     "mt01_requests": lambda s, f: metrics.requests(requests(s, f)),
     "mt02_latency": lambda s, f: metrics.latency(requests(s, f)),
@@ -234,7 +242,7 @@ QUERIES = {
     "mt08_staleness": _stale,
     "mt09_percentiles": lambda s, f: metrics.percentiles(requests(s, f)),
     "mt10_throughput": lambda s, f: metrics.throughput(requests(s, f)),
-    "mt11_info": lambda s, f: s.createDataFrame([("ok", SHARDS, Settings().role)], "status string, shards int, role string"),
+    "mt11_info": lambda s, f: _info(s),
     "jn02_lookup": lambda s, f: _lookups(s, f).select("doc_id", "hit"),
     "jn05_read_source": _source,
     "jn06_policy": _policies,
@@ -259,7 +267,8 @@ QUERIES = {
     "io12_cold_tier": _cold,
     "io16_bodies": _kinds,
     "io18_event_stream": _sse,
-    "io19_config": lambda s, f: Settings.load({"KV_SHARDS": str(SHARDS)}, file_text='{"rate_limit_enabled": "true", "rate_limit_routes": {"/kv/scan": {"rps": 10, "burst": 10}}}').frame(s),
+    "io19_config": lambda s, f: config.resolve(config.layers(s, ENV, CHANGES)),
+    "cf01_policies": lambda s, f: config.changed_policies(table(s, f, "rate_policy"), POLICY_CHANGE),
     "st02_shed": _shed("drop_newest"),
     "st02_shed_oldest": _shed("drop_oldest"),
     "st03_pushes": _pushes,
@@ -334,6 +343,10 @@ ORACLE = {
     "io12_cold_tier": f"WITH {SNAP} SELECT key, value, round({_LEFT} + 30, 3) AS ttl FROM snap WHERE expire_at IS NULL OR {_LEFT} + 30 > 0",
     "io16_bodies": "SELECT CASE WHEN NOT json_valid(value) THEN 'raw' ELSE CASE json_type(CASE WHEN json_valid(value) THEN value END) WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VARCHAR' THEN 'string' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'number' END END AS kind, count(*) AS n FROM ops WHERE value IS NOT NULL GROUP BY 1",
     "io18_event_stream": "SELECT delivery_id, concat('event: keyspace', chr(10), 'data: {\"op\":', to_json(op), ',\"key\":', to_json(key), ',\"lsn\":', lsn, ',\"shard\":', coalesce(CAST(shard AS VARCHAR), 'null'), '}', chr(10), chr(10)) AS chunk FROM keyspace_event",
+    "io19_config": f"""SELECT * FROM (VALUES ('shards', '{SHARDS}', 1), ('capacity', '1000', 0), ('eviction_policy', 'lru', 0), ('tier', '', 0), ('role', 'leader', 0), ('queue_room', '10000', 0), ('shed_policy', 'drop_newest', 0),
+        ('read_max_lag', '0', 0), ('read_max_age_ms', '0.0', 0), ('snapshot_seconds', '7.0', 2), ('rate_limit', 'true', 2)) x(name, value, layer)""",
+    "cf01_policies": """WITH d AS (SELECT * FROM rate_policy WHERE route = 'default') SELECT route, rps, burst, per_ip FROM rate_policy WHERE route NOT IN ('default', '/kv/scan', '/new', '/healthz')
+        UNION ALL SELECT '/kv/scan', 2.5, 3, per_ip FROM d UNION ALL SELECT '/new', 2.5, burst, per_ip FROM d UNION ALL SELECT 'default', 2.5, burst, per_ip FROM d""",
     "st02_shed": f"SELECT delivery_id FROM ops QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY delivery_id) <= {ROOM}",
     "st02_shed_oldest": f"SELECT delivery_id FROM ops QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY delivery_id DESC) <= {ROOM}",
     "st03_pushes": "SELECT (n - 1) // 100 AS push, count(*) AS changes, min(lsn) AS lsn_from, max(lsn) AS lsn_to FROM (SELECT lsn, row_number() OVER (ORDER BY lsn) AS n FROM (SELECT DISTINCT lsn FROM ops WHERE lsn > 0)) GROUP BY 1",

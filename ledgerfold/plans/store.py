@@ -15,6 +15,8 @@ NOW = "2025-01-10 00:00:00"
 SHARDS = 16
 CAPACITY = 40
 FLUSH_AT = 500
+#: Places to which replies show held numbers: sums of doubles differ beyond with the order in which they are added.
+DIGITS = 6
 
 
 def now():
@@ -154,13 +156,7 @@ def web_log(spark: SparkSession, folder: str) -> DataFrame:
 def _wire(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.create_map(*[F.lit(x) for x in ("signup", "SET", "view", "GET", "click", "INCRBY", "purchase", "EXISTS", "error", "DEL")])
     log = table(spark, folder, "events").select((F.col("event_id") + 1).alias("lsn"), kind[F.col("event_type")].alias("command"), F.col("user_id").cast("string").alias("key"), "value")
-    return commands.wire_replies(log)
-
-
-def _wire_kinds(spark: SparkSession, folder: str) -> DataFrame:
-    """Replies with the text of held numbers left out, which engines print differently."""
-    reply = F.when(F.col("reply").startswith("$-1"), "nil").when(F.col("reply").startswith("$"), "text").when(F.col("command") == "INCRBY", "number").otherwise(F.regexp_replace("reply", "\r\n", ""))
-    return _wire(spark, folder).select("lsn", "command", "key", reply.alias("reply"))
+    return commands.wire_replies(log, DIGITS)
 
 
 def _feed(spark: SparkSession, folder: str) -> DataFrame:
@@ -222,12 +218,11 @@ QUERIES = {
     "st01_changes": lambda spark, folder: folded(spark, folder).where("accepted AND op <> 'read'").select("lsn", "op", "key"),
     "st08_keyspace": _feed,
     "st09_channels": _channels,
-    "h_replies": lambda spark, folder: commands.web_replies(web_log(spark, folder)),
+    "h_replies": lambda spark, folder: commands.web_replies(web_log(spark, folder), DIGITS),
     "h_status": lambda spark, folder: commands.web_replies(web_log(spark, folder)).select("lsn", "method", "key", "status"),
     "h03_batch": lambda spark, folder: reads.mget(final(spark, folder), spark.createDataFrame([("1",), ("2",), ("3",), ("2",), ("none",)], "key string")),
     "h04_scan": lambda spark, folder: reads.scan(final(spark, folder), "1", 100).agg(F.to_json(F.struct(F.sort_array(F.collect_list("key")).alias("keys"))).alias("body")),
     "r_replies": _wire,
-    "r_kinds": _wire_kinds,
 }
 
 LOG = """
@@ -272,6 +267,12 @@ TOUCH_ALL = f"""{_routed(SHARDS, 'SELECT key FROM keyspace_event')},
     t AS (SELECT r.shard, d.key, count(*) AS freq, max(d.lsn) AS last_seq
           FROM (SELECT DISTINCT CASE WHEN lsn > 0 THEN lsn ELSE 0 END AS lsn, lower(trim(op)) AS op, key, CASE WHEN lsn > 0 THEN NULL ELSE ts END AS ts FROM keyspace_event) d JOIN routed r USING (key) GROUP BY ALL)"""
 
+#: The log as web and wire commands: creates and updates are puts; on the wire, updates ask whether a key is there.
+PUTS = LOG.replace("'create'", "'put'").replace("'update'", "'put'")
+WIRE = LOG.replace("'create'", "'put'").replace("'update'", "'read'").replace("SELECT event_id", "SELECT event_type, event_id")
+METHOD = "CASE op WHEN 'put' THEN 'PUT' WHEN 'read' THEN 'GET' WHEN 'incr' THEN 'INCR' ELSE 'DELETE' END"
+STATUS = "CASE WHEN op = 'put' THEN CASE live WHEN 1 THEN 204 ELSE 201 END WHEN op = 'delete' THEN CASE live WHEN 1 THEN 204 ELSE 404 END WHEN op = 'read' THEN CASE live WHEN 1 THEN 200 ELSE 404 END ELSE 200 END"
+
 ORACLE = {
     "kv01_create": _with_log("SELECT lsn, key, accepted FROM v WHERE op = 'create'"),
     "kv02_read": _with_log("SELECT lsn, key, accepted AS hit, round(value_after, 6) AS value FROM v WHERE op = 'read'"),
@@ -317,12 +318,10 @@ ORACLE = {
     "st08_keyspace": _with_log("SELECT CASE WHEN op = 'delete' THEN 'del' ELSE 'set' END AS op, key, lsn FROM v WHERE accepted AND op <> 'read'"),
     "st09_channels": _with_log("""SELECT * FROM (SELECT 'keyspace' AS channel, count(*) AS events FROM v WHERE accepted AND op <> 'read' UNION ALL SELECT 'keyspace:set', count(*) FROM v WHERE accepted AND op NOT IN ('read', 'delete')
         UNION ALL SELECT 'keyspace:del', count(*) FROM v WHERE accepted AND op = 'delete' UNION ALL SELECT 'other', 0)"""),
-    "h_status": f"WITH {LOG.replace(chr(39) + 'create' + chr(39), chr(39) + 'put' + chr(39)).replace(chr(39) + 'update' + chr(39), chr(39) + 'put' + chr(39))}{FOLD} "
-    "SELECT lsn, CASE op WHEN 'put' THEN 'PUT' WHEN 'read' THEN 'GET' WHEN 'incr' THEN 'INCR' ELSE 'DELETE' END AS method, key, "
-    "CASE WHEN op = 'put' THEN CASE live WHEN 1 THEN 204 ELSE 201 END WHEN op = 'delete' THEN CASE live WHEN 1 THEN 204 ELSE 404 END WHEN op = 'read' THEN CASE live WHEN 1 THEN 200 ELSE 404 END ELSE 200 END AS status FROM v",
+    "h_status": f"WITH {PUTS}{FOLD} SELECT lsn, {METHOD} AS method, key, {STATUS} AS status FROM v",
+    "h_replies": f"WITH {PUTS}{FOLD} SELECT lsn, method, key, status, CASE WHEN status = 200 THEN concat('{{\"key\": \"', key, '\", \"value\": ', CAST(round(value_after, 6) AS VARCHAR), '}}') END AS body FROM (SELECT *, {METHOD} AS method, {STATUS} AS status FROM v)",
     "h03_batch": _with_log("SELECT key, value FROM state WHERE key IN ('1', '2', '3', 'none')"),
     "h04_scan": _with_log("SELECT concat('{\"keys\":[', string_agg(concat('\"', key, '\"'), ',' ORDER BY key), ']}') AS body FROM (SELECT key FROM state WHERE starts_with(key, '1') ORDER BY key LIMIT 100)"),
-    "r_kinds": f"WITH {LOG.replace(chr(39) + 'create' + chr(39), chr(39) + 'put' + chr(39)).replace(chr(39) + 'update' + chr(39), chr(39) + 'read' + chr(39)).replace('SELECT event_id', 'SELECT event_type, event_id')}{FOLD} "
-    "SELECT lsn, CASE event_type WHEN 'signup' THEN 'SET' WHEN 'view' THEN 'GET' WHEN 'click' THEN 'INCRBY' WHEN 'purchase' THEN 'EXISTS' ELSE 'DEL' END AS command, key, "
-    "CASE event_type WHEN 'signup' THEN '+OK' WHEN 'view' THEN CASE live WHEN 1 THEN 'text' ELSE 'nil' END WHEN 'click' THEN 'number' ELSE concat(':', live) END AS reply FROM v",
+    "r_replies": f"WITH {WIRE}{FOLD} SELECT lsn, CASE event_type WHEN 'signup' THEN 'SET' WHEN 'view' THEN 'GET' WHEN 'click' THEN 'INCRBY' WHEN 'purchase' THEN 'EXISTS' ELSE 'DEL' END AS command, key, concat(CASE event_type WHEN 'signup' THEN '+OK' "
+    "WHEN 'view' THEN CASE live WHEN 1 THEN concat('$', length(CAST(round(value_after, 6) AS VARCHAR)), chr(13), chr(10), CAST(round(value_after, 6) AS VARCHAR)) ELSE '$-1' END WHEN 'click' THEN concat(':', CAST(trunc(round(value_after, 6)) AS BIGINT)) ELSE concat(':', live) END, chr(13), chr(10)) AS reply FROM v",
 }

@@ -26,7 +26,7 @@ def some_rows(n, seed):
     rows = []
     for d in range(n):
         lsn = rng.choice([0, 0, None, 7, 7, 7, rng.randrange(1, 60), 3_000_000 + rng.randrange(5)])
-        rows.append((d, lsn, rng.choice(["set", " SET", "del", "expire "]), rng.choice(["a", "b", None]), rng.choice([None, float(d), 5.0, 1e12]), 1))
+        rows.append((d, lsn, rng.choice(["set", " SET", "del", "expire "]), rng.choice(["a", "b", None]), rng.choice([None, float(d), 5.0, 1e12, 1e30, float("-inf")]), 1))
     return rows
 
 

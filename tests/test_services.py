@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerfold.functions import codec, text
 from ledgerfold.operators import access, aicache, metrics, ratelimit, replication
 from ledgerfold.plans import service
-from ledgerfold.sources.config import Settings
+from ledgerfold.sources import config
 from ledgerfold.sources.oplog import numbered
 from ledgerfold.sources.snapshot import Snapshots, from_lines, to_lines
 from ledgerfold.sources.tier import ColdTier
@@ -187,16 +187,21 @@ def test_cold_tier(spark, tmp_path):
 
 
 def test_settings(spark):
-    s = Settings.load({"KV_SHARDS": "16", "KV_RATE_LIMIT_ENABLED": "TRUE", "KV_SYNC_INTERVAL": "0.5"}, file_text=json.dumps({"shards": 3, "snapshot_interval": "7"}))
-    assert (s.shards, s.rate_limit_enabled, s.sync_interval, s.snapshot_interval) == (16, True, 0.5, 7.0)
-    done = s.update({"shards": 9, "snapshot_interval": "x", "rate_limit_default": '{"rps": "2"}', "rate_limit_routes": {"/a": {"burst": 3}, "/b": {}}})
-    assert done == ["rate_limit_default", "rate_limit_routes"] and s.rate_limit_routes["/a"] == {"rps": 2.0, "burst": 3, "per_ip": True}
-    s.update({"rate_limit_routes": {"/a": None}})
-    assert set(s.rate_limit_routes) == {"/b"}
-    assert s.frame(spark).count() == len(vars(s))
-    for bad in ({"KV_SHARDS": "0"}, {"KV_EVICTION_POLICY": "mru"}):
+    got = config.checked(config.resolve(config.layers(spark, {"KV_SHARDS": " 16 ", "KV_RATE_LIMIT": "TRUE", "OTHER": "1"}, ['{"shards": 3, "snapshot_seconds": "7", "unknown": 1}', "[]", None])))
+    assert (got["shards"], got["rate_limit"], got["snapshot_seconds"]) == ("16", "true", "7.0") and set(got) == {s.name for s in config.SETTINGS}
+    for bad in ({"KV_SHARDS": "0"}, {"KV_EVICTION_POLICY": "mru"}, {"KV_TIER": "tape"}):
         with pytest.raises(ValueError):
-            Settings.load(bad)
+            config.checked(config.resolve(config.layers(spark, bad)))
+
+
+def test_policies_changed_in_part(spark):
+    schema = "route string, rps double, burst int, per_ip boolean"
+    now = spark.createDataFrame([("default", 1.0, 5, False), ("/a", 2.0, 2, True), ("/b", 3.0, 3, True)], schema)
+    rows = lambda df: {r.route: (r.rps, r.burst, r.per_ip) for r in df.collect()}
+    change = json.dumps({"default_policy": json.dumps({"burst": "7"}), "route_policies": {"/a": None, "/b": {"rps": "fast", "per_ip": "true"}, "/c": {}}})
+    assert rows(config.changed_policies(now, change)) == {"default": (1.0, 7, False), "/b": (1.0, 7, True), "/c": (1.0, 7, False)}
+    assert rows(config.changed_policies(now, "nothing")) == rows(now)
+    assert rows(config.changed_policies(now.where("false"), "{}")) == {"default": (0.0, 0, True)}
 
 
 def test_dense_numbers(spark):
@@ -205,3 +210,13 @@ def test_dense_numbers(spark):
     got = [(r.a, r.b) for r in sorted(df.collect(), key=lambda r: r.n)]
     assert got == sorted(rows) and [r.n for r in sorted(df.collect(), key=lambda r: r.n)] == list(range(11, 511))
     assert numbered(spark.createDataFrame([], "a int"), ["a"]).count() == 0
+
+
+def test_numbers_as_text(spark):
+    rng = random.Random(4)
+    odd = [12345678.5, 0.0005, 1e16, 1e-4, 9.999e-5, 0.0, -0.0, 1.0, -2.5, 1e22, 1.5e-7, 9999999999999998.0, float("inf"), float("-inf"), float("nan"), 2.0**63, 1e300, 5e-324, 0.1 + 0.2, None]
+    values = odd + [rng.uniform(-1, 1) * 10 ** rng.randrange(-20, 25) for _ in range(500)]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select(text.number_text(F.col("x")), text.reply_integer(F.col("x"))).collect()
+    assert [r[0] for r in rows] == [None if v is None else str(v) for v in values]
+    assert [r[1] for v, r in zip(values, rows, strict=True) if v is not None and abs(v) < 1e22] == [f":{int(v)}\r\n" for v in values if v is not None and abs(v) < 1e22]
+    assert rows[14][1].startswith("-ERR") and rows[19][1] is None
