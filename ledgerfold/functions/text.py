@@ -27,7 +27,7 @@ def json_as_number(value: Column) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """A double as a store prints it, in the fewest digits that tell it from others: plain decimals between 1e-4 and 1e16 with at least one place, else ``1.5e-07``; ``inf``, ``-inf`` and ``nan``; NULL stays NULL."""
+    """A double as a store prints it, in the fewest digits that tell it from others: plain decimals between 1e-4 and 1e16 with at least one place, else ``1.5e-07``; ``inf``, ``-inf`` and ``nan``; NULL stays NULL. Subnormal numbers show the digits that Java gives them."""
     text = x.cast("double").cast("string")
     plain = F.rtrim(text.try_cast("decimal(38,21)").cast("string"), F.lit("0"))  # 17 digits before the point, and all that a double has after it
     plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)

