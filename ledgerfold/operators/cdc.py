@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from ledgerfold.functions.text import json_as_number, json_string, number_text
 
 #: lsns per block of a key's history: what one window partition or task can get of a single key is at most so many changes.
-BLOCK_BITS = 20
+BLOCK_BITS = 16
+#: Summaries of blocks are chained in rounds of 2**FAN_BITS at most, so no row holds more of them, however long a key's history is.
+FAN_BITS = 10
 #: What a key can be before a block: absent, live with a number, live with something else.
 _ABSENT, _NUMBER, _OTHER = 0, 1, 2
 
@@ -55,6 +57,17 @@ def contiguous_watermark(changes: DataFrame, start: int, block_bits: int = BLOCK
     return start + block * size + held
 
 
+def settled(changes: DataFrame, start: int, patience: int = 0) -> int:
+    """The lsn up to which nothing more is waited for: the highest that was delivered at least ``patience`` batches before the latest.
+
+    Numbers below it that haven't come are declared lost. With a patience of 0, for
+    a feed that has ended, it is the highest lsn of all; ``start`` if there is none above it.
+    """
+    ends = changes.agg(F.max("batch_id")).first()[0] if patience else None
+    seen = changes if ends is None else changes.where(F.col("batch_id") <= ends - patience)
+    return max(start, seen.agg(F.max("lsn")).first()[0] or 0)
+
+
 def writes(txns: DataFrame) -> DataFrame:
     """Key-level writes ``(key, lsn, op, value, num, delta)`` of transactions.
 
@@ -119,7 +132,37 @@ def _fold_blocks(w: DataFrame, block_bits: int) -> DataFrame:
     return x.groupBy("key", "block").agg(F.array(*lsns).alias("lsns"), F.array(*steps).alias("steps"), F.first("same").alias("same"), bases[0].alias("dead"), bases[1].alias("alive"))
 
 
-def replay(snapshot: DataFrame, changes: DataFrame, upto: int | None = None, block_bits: int = BLOCK_BITS) -> DataFrame:
+def _then(a: Column, b: Column) -> Column:
+    """The summary of block ``a`` followed by block ``b``."""
+    out = {}
+    kinds = []
+    for s in (_ABSENT, _NUMBER, _OTHER):
+        base = a["dead"] if s == _ABSENT else F.when(a["same"], a["dead"]).otherwise(a["alive"])
+        kind = F.when(a["steps"][s].isNotNull(), _NUMBER).otherwise(F.coalesce(base["kind"], F.lit(s)))
+        kinds.append(kind)
+        last = F.when((kind == _ABSENT) | b["same"], b["dead"]).otherwise(b["alive"])
+        add = b["steps"][kind]
+        both = F.when(add.isNull(), a["steps"][s]).otherwise(F.coalesce(a["steps"][s], F.lit(0.0)) + add)
+        out[s] = F.coalesce(last, base), F.when(last.isNotNull(), add).otherwise(both), F.coalesce(b["lsns"][kind], a["lsns"][s])
+    # one write is given once: b's, where it resets alike from any state, or a's, where b resets from none
+    same = b["same"] & (b["dead"].isNotNull() | a["same"])
+    return F.struct(
+        b["block"].alias("block"), F.array(*[out[s][2] for s in out]).alias("lsns"), F.array(*[out[s][1] for s in out]).alias("steps"),
+        same.alias("same"), out[_ABSENT][0].alias("dead"), F.when(~same, out[_NUMBER][0]).alias("alive"),
+    )
+
+
+def _rounds(parts: DataFrame, last_block: int, fan_bits: int) -> DataFrame:
+    """Summaries chained in rounds until a key has ``2**fan_bits`` at most (and the snapshot's)."""
+    while last_block >> fan_bits:
+        last_block >>= fan_bits
+        up = F.shiftright("block", fan_bits)
+        runs = parts.groupBy("key", up.alias("up")).agg(F.array_sort(F.collect_list(F.struct("block", "lsns", "steps", "same", "dead", "alive"))).alias("b"))
+        parts = runs.select("key", "up", F.aggregate(F.slice("b", F.lit(2), F.size("b")), F.col("b")[0], _then).alias("s")).select("key", F.col("up").alias("block"), "s.lsns", "s.steps", "s.same", "s.dead", "s.alive")
+    return parts
+
+
+def replay(snapshot: DataFrame, changes: DataFrame, upto: int | None = None, block_bits: int = BLOCK_BITS, fan_bits: int = FAN_BITS) -> DataFrame:
     """Live keys ``(key, value, lsn)`` after the snapshot and each change above its lsn, once, in order of lsn.
 
     ``snapshot``: ``key``, ``value``, ``snapshot_lsn`` (one value; 0 if empty). ``changes``:
@@ -127,8 +170,9 @@ def replay(snapshot: DataFrame, changes: DataFrame, upto: int | None = None, blo
     ignored. Repeated rows of either side count once. A create sets the key, an
     update of an absent key is refused, a delete makes it absent, a step starts
     an absent key at 0 and is refused on what is no number. A SQL NULL value is
-    JSON null. Gaps in the sequence are passed over: bound the replay with
-    ``upto`` = :func:`contiguous_watermark` to hold at the first gap instead.
+    JSON null. State is exposed as of ``upto``, the watermark: :func:`contiguous_watermark` of
+    the start to hold at the first gap, or of :func:`settled` to pass gaps that are declared lost.
+    Without it all that was delivered counts.
 
     ``value`` is JSON text; after steps it is the number as a float. ``lsn`` is
     that of the last accepted change, or ``snapshot_lsn``.
@@ -139,7 +183,8 @@ def replay(snapshot: DataFrame, changes: DataFrame, upto: int | None = None, blo
     first = held.withColumn("num", json_as_number(F.col("value"))).select(
         "key", F.lit(-1).cast("long").alias("block"), F.array_repeat(F.lit(start).cast("long"), 3).alias("lsns"), F.array_repeat(F.lit(None).cast("double"), 3).alias("steps"), F.lit(True).alias("same"), base.alias("dead"), F.lit(None).cast("struct<kind: int, value: string, num: double>").alias("alive")
     )
-    parts = first.unionByName(_fold_blocks(writes(transactions(changes, start, upto)), block_bits))
+    upto = settled(changes, start) if upto is None else upto
+    parts = first.unionByName(_rounds(_fold_blocks(writes(transactions(changes, start, upto)), block_bits), upto >> block_bits, fan_bits))
 
     def step(acc: Column, b: Column) -> Column:
         new = F.when((acc["kind"] == _ABSENT) | b["same"], b["dead"]).otherwise(b["alive"])

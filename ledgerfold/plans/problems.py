@@ -71,13 +71,16 @@ def _live(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _held(spark: SparkSession, folder: str) -> DataFrame:
-    """State at the contiguous watermark: nothing at or after the first gap shows."""
+    """State at the contiguous watermark: nothing at or after the first gap that is still waited for shows."""
     snapshot, ops = table(spark, folder, "state_snapshot"), table(spark, folder, "ops")
     start = snapshot.agg(F.max("snapshot_lsn")).first()[0] or 0
-    mark = cdc.contiguous_watermark(ops, start)
+    mark = cdc.contiguous_watermark(ops, cdc.settled(ops, start, PATIENCE))
     return cdc.replay(snapshot, ops, upto=mark).select("key", "lsn", F.lit(mark).alias("watermark"))
 
 
+#: Batches after which a change that hasn't come is declared lost.
+PATIENCE = 20
+
 QUERIES = {
     "p1_found": _due,
     "p1_intervals": _intervals,
@@ -126,12 +129,13 @@ _REPLAY = r"""
     live AS (SELECT key, max(CASE WHEN taken THEN lsn END) AS lsn,
                     arg_max(CASE WHEN op IN ('create', 'incr') THEN 1 WHEN op = 'delete' THEN 0 END, CASE WHEN op <> 'update' THEN lsn END) AS alive FROM t GROUP BY key)"""
 
-#: The same, bounded by the last lsn before the first gap.
+#: The same, bounded by the last lsn before the first gap that is still waited for.
 _HELD = _REPLAY.replace(
     "    txn AS",
-    """    mark AS (SELECT coalesce(max(lsn), any_value(s)) AS m FROM (SELECT lsn, row_number() OVER (ORDER BY lsn) + s AS place, s FROM (SELECT DISTINCT lsn, s FROM ops, start WHERE lsn > s)) WHERE lsn = place),
+    f"""    told AS (SELECT greatest(any_value(s), coalesce(max(lsn), 0)) AS t FROM ops, start WHERE batch_id <= (SELECT max(batch_id) FROM ops) - {PATIENCE}),
+    mark AS (SELECT coalesce(max(lsn), any_value(t)) AS m FROM (SELECT lsn, row_number() OVER (ORDER BY lsn) + t AS place, t FROM (SELECT DISTINCT lsn, t FROM ops, told WHERE lsn > t)) WHERE lsn = place),
     txn AS""",
-).replace("FROM ops, start WHERE lsn > s GROUP", "FROM ops, start, mark WHERE lsn > s AND lsn <= m GROUP")
+).replace("FROM ops, start WHERE lsn > s GROUP", "FROM ops, start, mark WHERE lsn > s AND lsn <= coalesce(m, (SELECT t FROM told)) GROUP")
 
 ORACLE = {
     "p1_found": f"WITH {_MESSAGES} {_DUE.format(t='ops', v='ops_id')} UNION ALL {_DUE.format(t='keyspace_event', v='notice_id')}",
@@ -160,5 +164,5 @@ ORACLE = {
     "p5_state": f"""WITH {_REPLAY}, ep AS (SELECT *, count(reset) OVER (PARTITION BY key ORDER BY lsn) AS e FROM t), fin AS (SELECT * FROM ep QUALIFY e = max(e) OVER (PARTITION BY key)),
         held AS (SELECT key, arg_max(value, lsn) FILTER (reset IS NOT NULL) AS value, coalesce(arg_max(num, lsn) FILTER (reset IS NOT NULL AND reset <> 'a'), 0) AS num, sum(delta) FILTER (steps) AS added FROM fin GROUP BY key)
         SELECT key, CASE WHEN added IS NULL THEN value ELSE CAST(num + added AS VARCHAR) END AS value, lsn FROM live JOIN held USING (key) WHERE alive = 1""",
-    "p5_held": f"WITH {_HELD.strip()} SELECT key, lsn, m AS watermark FROM live, mark WHERE alive = 1",
+    "p5_held": f"WITH {_HELD.strip()} SELECT key, lsn, coalesce(m, (SELECT t FROM told)) AS watermark FROM live, mark WHERE alive = 1",
 }

@@ -1,6 +1,8 @@
 import json
 import random
 
+from pyspark.sql import functions as F
+
 from ledgerfold.operators import cdc
 
 OPS = "delivery_id long, lsn long, op string, key string, value string, delta double, extra int"
@@ -53,9 +55,10 @@ def brute(snap, ops, upto=None):
 
 
 def check(spark, snap, ops, bits, upto=None):
-    s, o = spark.createDataFrame(snap, SNAP), spark.createDataFrame(ops, OPS)
-    got = {r.key: (r.value, r.lsn) for r in cdc.replay(s, o, upto, bits).collect()}
-    assert got == brute(snap, ops, upto)
+    s, o = spark.createDataFrame(snap, SNAP), spark.createDataFrame(ops, OPS).withColumn("batch_id", F.col("delivery_id"))
+    for fan in (10, 1, 2):  # summaries in one round, and in many
+        got = {r.key: (r.value, r.lsn) for r in cdc.replay(s, o, upto, bits, fan).collect()}
+        assert got == brute(snap, ops, upto), fan
 
 
 VALUES = ["1", "2.5", '"7"', '" 8.5 "', '"v"', "null", "true", '{"b":1,"a":[1,null]}', None, "-3", '"x \\" y"']
@@ -80,7 +83,7 @@ def some_ops(rng, n, keys):
 
 def test_random_feeds_in_blocks_of_any_size(spark):
     rng = random.Random(21)
-    for trial in range(6):
+    for trial in range(4):
         keys = ["a", "ключ", "user:{1}"][: 1 + trial % 3]
         ops = some_ops(rng, 150, keys)
         rng.shuffle(ops)
@@ -107,3 +110,9 @@ def test_watermark_holds_at_the_first_gap(spark):
         assert cdc.contiguous_watermark(rows([n for n in range(5, 60) if n != 33]), 4, bits) == 32
     ops = [(n, n, "create", f"k{n}", "1", None, 0) for n in (1, 2, 4)]
     check(spark, [], ops, 16, upto=2)
+
+
+def test_gaps_declared_lost(spark):
+    df = spark.createDataFrame([(1, 5), (2, 7), (3, 8), (9, 10), (10, 9), (10, 12)], "batch_id long, lsn long")
+    assert cdc.settled(df, 4, 7) == 8 and cdc.contiguous_watermark(df, 8) == 10
+    assert cdc.settled(df, 4, 100) == 4 and cdc.settled(df, 4) == 12 and cdc.settled(df.where("false"), 4) == 4
