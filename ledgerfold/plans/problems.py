@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.operators import cdc, dedupe, heavyhitters, hotkeys, incremental
+from ledgerfold.operators import cdc, dedupe, hotkeys, incremental
 from ledgerfold.runtime import work_dir
 from ledgerfold.sources.tables import plain_op, table, table_parts, table_stream
 
@@ -52,20 +52,6 @@ def _per_shard(spark: SparkSession, folder: str) -> DataFrame:
     return hotkeys.per_shard(_per_key(spark, folder))
 
 
-def _notices_by_op(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "keyspace_event").select(plain_op(F.col("op")).alias("op"), "key")
-
-
-def _top(spark: SparkSession, folder: str) -> DataFrame:
-    return heavyhitters.top_items(_notices_by_op(spark, folder), "op", "key").select(F.col("grp").alias("op"), F.col("item").alias("key"))
-
-
-def _top_intervals(spark: SparkSession, folder: str) -> DataFrame:
-    """Guaranteed intervals hold the exact count: reported beside it."""
-    top = heavyhitters.top_items(_notices_by_op(spark, folder), "op", "key")
-    return top.select(F.col("grp").alias("op"), F.col("item").alias("key"), "n", ((F.col("low") <= F.col("n")) & (F.col("n") <= F.col("high"))).alias("inside"))
-
-
 def _live(spark: SparkSession, folder: str) -> DataFrame:
     return cdc.replay(table(spark, folder, "state_snapshot"), table(spark, folder, "ops"))
 
@@ -89,8 +75,6 @@ QUERIES = {
     "p3_found": lambda spark, folder: hotkeys.hot_keys(table(spark, folder, "keyspace_event")).select("key", "shard"),
     "p3_per_key": _per_key,
     "p3_per_shard": _per_shard,
-    "p4_found": _top,
-    "p4_intervals": _top_intervals,
     "p5_found": lambda spark, folder: _live(spark, folder).select("key", "lsn"),
     "p5_state": _live,
     "p5_held": _held,
@@ -156,10 +140,6 @@ ORACLE = {
     "p3_per_key": "SELECT key, max(shard) AS shard, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM keyspace_event GROUP BY key",
     "p3_per_shard": """SELECT shard, count(*) AS keys, CAST(sum(n) AS BIGINT) AS n, min(first_ts) AS first_ts, max(last_ts) AS last_ts
         FROM (SELECT key, max(shard) AS shard, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM keyspace_event GROUP BY key) GROUP BY shard""",
-    "p4_found": """SELECT op, key FROM (SELECT lower(trim(op)) AS op, key, row_number() OVER (PARTITION BY lower(trim(op)) ORDER BY count(*) DESC, key) AS place
-        FROM keyspace_event WHERE key IS NOT NULL GROUP BY 1, 2) WHERE place <= 10""",
-    "p4_intervals": """SELECT op, key, n, true AS inside FROM (SELECT lower(trim(op)) AS op, key, count(*) AS n, row_number() OVER (PARTITION BY lower(trim(op)) ORDER BY count(*) DESC, key) AS place
-        FROM keyspace_event WHERE key IS NOT NULL GROUP BY 1, 2) WHERE place <= 10""",
     "p5_found": f"WITH {_REPLAY} SELECT key, lsn FROM live WHERE alive = 1",
     "p5_state": f"""WITH {_REPLAY}, ep AS (SELECT *, count(reset) OVER (PARTITION BY key ORDER BY lsn) AS e FROM t), fin AS (SELECT * FROM ep QUALIFY e = max(e) OVER (PARTITION BY key)),
         held AS (SELECT key, arg_max(value, lsn) FILTER (reset IS NOT NULL) AS value, coalesce(arg_max(num, lsn) FILTER (reset IS NOT NULL AND reset <> 'a'), 0) AS num, sum(delta) FILTER (steps) AS added FROM fin GROUP BY key)
