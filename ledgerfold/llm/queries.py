@@ -3,9 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerfold.llm import mixing, packing, sentences
-from ledgerfold.sources.tables import table
+from ledgerfold.llm import heavyhitters, mixing, packing, sentences
+from ledgerfold.sources.tables import plain_op, table
+
+
+def _notices_by_op(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "keyspace_event").select(plain_op(F.col("op")).alias("op"), "key")
+
+
+def _top(spark: SparkSession, folder: str) -> DataFrame:
+    return heavyhitters.top_items(_notices_by_op(spark, folder), "op", "key").select(F.col("grp").alias("op"), F.col("item").alias("key"))
+
+
+def _top_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    """The exact count beside whether the guaranteed interval holds it, as it must."""
+    top = heavyhitters.top_items(_notices_by_op(spark, folder), "op", "key")
+    return top.selectExpr("grp AS op", "item AS key", "n", "n BETWEEN low AND high AS inside")
 
 
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,6 +50,8 @@ def _shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p4_found": _top,
+    "p4_intervals": _top_intervals,
     "p6_found": _split_texts,
     "p6_packing": _packed,
     "p6_fill": lambda spark, folder: packing.fill(_packed(spark, folder)),
@@ -45,6 +62,10 @@ QUERIES = {
 }
 
 ORACLE = {
+    "p4_found": """SELECT op, key FROM (SELECT lower(trim(op)) AS op, key, row_number() OVER (PARTITION BY lower(trim(op)) ORDER BY count(*) DESC, key) AS place
+        FROM keyspace_event WHERE key IS NOT NULL GROUP BY 1, 2) WHERE place <= 10""",
+    "p4_intervals": """SELECT op, key, n, true AS inside FROM (SELECT lower(trim(op)) AS op, key, count(*) AS n, row_number() OVER (PARTITION BY lower(trim(op)) ORDER BY count(*) DESC, key) AS place
+        FROM keyspace_event WHERE key IS NOT NULL GROUP BY 1, 2) WHERE place <= 10""",
     "p6_found": "SELECT spec_name, doc_id FROM documents JOIN container_spec ON strlen(text) > capacity_tokens",
     "p7_found": r"""
         WITH sizes AS (SELECT regexp_replace(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '[\s_-]+', '_', 'g') AS source, sum(coalesce(strlen(text), 0)) AS supply FROM documents GROUP BY 1),
