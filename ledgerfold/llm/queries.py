@@ -28,7 +28,7 @@ def _packed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _split_texts(spark: SparkSession, folder: str) -> DataFrame:
-    return _packed(spark, folder).where("pieces > 1 AND piece = 0").select("spec_name", "doc_id")
+    return packing.split_texts(_packed(spark, folder))
 
 
 def _planned(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -54,6 +54,7 @@ QUERIES = {
     "p4_intervals": _top_intervals,
     "p6_found": _split_texts,
     "p6_packing": _packed,
+    "p6_checks": lambda spark, folder: packing.checks(_packed(spark, folder)),
     "p6_fill": lambda spark, folder: packing.fill(_packed(spark, folder)),
     "p7_found": _short,
     "p7_mix": _mix,
@@ -67,6 +68,7 @@ ORACLE = {
     "p4_intervals": """SELECT op, key, n, true AS inside FROM (SELECT lower(trim(op)) AS op, key, count(*) AS n, row_number() OVER (PARTITION BY lower(trim(op)) ORDER BY count(*) DESC, key) AS place
         FROM keyspace_event WHERE key IS NOT NULL GROUP BY 1, 2) WHERE place <= 10""",
     "p6_found": "SELECT spec_name, doc_id FROM documents JOIN container_spec ON strlen(text) > capacity_tokens",
+    "p6_checks": """SELECT spec_name, count(*) AS texts, CAST(sum(coalesce(strlen(text), 0)) AS BIGINT) AS tokens, 0 AS over, 0 AS broken FROM documents, container_spec GROUP BY spec_name""",
     "p7_found": r"""
         WITH sizes AS (SELECT regexp_replace(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '[\s_-]+', '_', 'g') AS source, sum(coalesce(strlen(text), 0)) AS supply FROM documents GROUP BY 1),
              owed AS (SELECT mix_name, source, max_repeats, weight / sum(weight) OVER (PARTITION BY mix_name) * budget_ratio * (SELECT sum(supply) FROM sizes) AS target FROM mix_target)

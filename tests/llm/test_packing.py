@@ -58,8 +58,30 @@ def test_repeated_rows_and_none(spark):
 def test_little_space_is_left(spark):
     rng = random.Random(2)
     docs = [(i, "x" * min(60, int(rng.expovariate(1 / 8))), "", 0) for i in range(3000)]
-    f = {r.spec_name: r.filled for r in packing.fill(packed(spark, docs)).collect()}
-    assert min(f.values()) > 0.97
+    for parts in (1, 64):
+        f = {r.spec_name: r.filled for r in packing.fill(packed(spark, docs, parts=parts)).collect()}
+        assert min(f.values()) > 0.97
+
+
+def test_filled_whatever_the_splits(spark, data):
+    docs, specs = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "container_spec"))
+    some = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1_000_000)).unionByName(docs.withColumn("doc_id", F.col("doc_id") + 2_000_000))
+    one, many = ({r.spec_name: r.filled for r in packing.fill(packing.pack(some.repartition(n), specs)).collect()} for n in (1, 64))
+    assert all(many[s] > one[s] - 0.02 for s in one)
+
+
+def test_second_round_in_several_tasks_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ITEMS", 20)
+    rng = random.Random(6)
+    docs = [(i, "x" * rng.choice([0, 1, 7, 13, 24, 59, 61]), "", 0) for i in range(300)] + [(7, "x" * 7, "", 0)] * 3
+    check(packed(spark, docs, parts=8).collect(), docs)
+
+
+def test_texts_of_one_bin_are_not_split(spark):
+    rows = packed(spark, [(1, "x" * 61, "", 0), (2, "x" * 60, "", 0), (3, None, "", 0)])
+    assert {(r.spec_name, r.doc_id) for r in packing.split_texts(rows).collect()} == {("big", 1), *((s, i) for s in ("s", "m", "m2") for i in (1, 2))}
+    got = {r.spec_name: (r.texts, r.tokens, r.over, r.broken) for r in packing.checks(rows).collect()}
+    assert got == {s: (3, 121, 0, 0) for s in ("s", "m", "m2", "big")}
 
 
 def test_best_fit_against_plain_search():
