@@ -16,8 +16,10 @@ from ledgerfold.runtime import materialize
 ROWS_PER_BLOCK = 250_000
 #: Most rows of mix targets; they are a setting, and broadcast.
 MOST_TARGETS = 10_000
-#: Weight over training relative to its mean, at equally spaced knots, linear between them: of sources that come once, and of those that may repeat, which come late.
+#: Schedules where none are given: weights at equally spaced points of training, linear between them, of sources that come once, and of those that may repeat, which come late.
 ONCE, REPEATED = (1.5, 1.0, 0.5), (0.5, 1.0, 1.5)
+#: Copies of one row that a task makes at once.
+COPIES = 10_000
 
 
 def source_name(source: Column) -> Column:
@@ -28,15 +30,20 @@ def source_name(source: Column) -> Column:
 def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17) -> DataFrame:
     """``(key, source, tokens, place)`` of all documents, written once so that texts are read once.
 
-    ``place`` orders a source at random: a hash of the key and of the input split, so that even copies of one row are spread.
+    ``place`` orders a source at random: a hash of the key, of size and source, and of which
+    copy it is where rows are repeated, so it is the same however the table is split, and even copies of one row are spread.
     """
     tokens = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
-    place = F.xxhash64(F.lit(seed), F.col(key), F.spark_partition_id())
-    return materialize(docs.select(F.col(key).alias("doc_id"), source_name(F.col(source)).alias("source"), tokens.alias("tokens"), place.alias("place")), "sized")
+    own = docs.select(F.col(key).alias("doc_id"), source_name(F.col(source)).alias("source"), tokens.alias("tokens"))
+    known = materialize(own.groupBy("doc_id", "source", "tokens").agg(F.count(F.lit(1)).alias("n")), "known")
+    runs = known.where("n > 1").selectExpr("doc_id", "source", "tokens", "n", f"explode(sequence(0L, (n - 1) div {COPIES})) AS run")
+    copies = runs.repartition("doc_id", "run").selectExpr("doc_id", "source", "tokens", f"explode(sequence(run * {COPIES}, least(n, (run + 1) * {COPIES}) - 1)) AS copy")
+    every = known.where("n = 1").selectExpr("doc_id", "source", "tokens", "0L AS copy").unionByName(copies)
+    return materialize(every.select("doc_id", "source", "tokens", F.xxhash64(F.lit(seed), "doc_id", "source", "tokens", "copy").alias("place")), "sized")
 
 
-def plan(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """What each source owes: ``(mix_name, source, max_repeats, supply, target, granted)`` in tokens.
+def plan(documents: DataFrame, targets: DataFrame, schedules: DataFrame | None = None) -> DataFrame:
+    """What each source owes: ``(mix_name, source, max_repeats, supply, target, granted, knots)`` in tokens.
 
     ``documents`` is from :func:`sized`, ``targets`` has ``mix_name, source,
     weight, max_repeats, budget_ratio``. ``target`` is the source's schedule
@@ -44,6 +51,12 @@ def plan(documents: DataFrame, targets: DataFrame) -> DataFrame:
     a multiple of the size of all documents. ``granted`` is the target, or what
     the source gives at most. A source without documents has supply 0. A NULL or negative
     weight counts as 0, NULL ``max_repeats`` as 1.
+
+    ``schedules`` are rows ``(mix_name, source, knots)``: the source's weight at
+    equally spaced points of training, two or more, linear between. Only its course counts,
+    its mean is the weight of ``targets``; so at any point of training sources come in the ratio
+    of their weights there. Negative and NULL knots count as 0; a schedule that is 0
+    throughout, or has fewer than two knots, is flat. A source without one follows ``ONCE`` or ``REPEATED``.
     """
     supply = materialize(documents.groupBy("source").agg(F.sum("tokens").alias("supply")), "supply")
     total = supply.agg(F.sum("supply")).first()[0] or 0
@@ -52,28 +65,38 @@ def plan(documents: DataFrame, targets: DataFrame) -> DataFrame:
     share = F.col("weight") / F.sum("weight").over(Window.partitionBy("mix_name"))
     owed = t.select("mix_name", "source", "max_repeats", F.coalesce(share * F.col("budget_ratio") * F.lit(total), F.lit(0.0)).alias("target"))
     known = owed.join(supply, "source", "left").select("mix_name", "source", "max_repeats", F.coalesce("supply", F.lit(0)).cast("long").alias("supply"), "target")
-    return known.withColumn("granted", F.least("target", (F.col("max_repeats") * F.col("supply")).cast("double")))
+    known = known.withColumn("granted", F.least("target", (F.col("max_repeats") * F.col("supply")).cast("double")))
+    usual = F.when(F.col("max_repeats") > 1, F.array(*map(F.lit, REPEATED))).otherwise(F.array(*map(F.lit, ONCE)))
+    if schedules is None:
+        return known.withColumn("knots", usual)
+    clean = F.expr("transform(knots, k -> greatest(coalesce(CAST(k AS DOUBLE), 0D), 0D))")
+    own = schedules.select("mix_name", "source", clean.alias("k")).groupBy("mix_name", "source").agg(F.min("k").alias("k"))
+    flat = F.expr("size(k) < 2 OR NOT exists(k, x -> x > 0)")
+    shaped = known.join(own, ["mix_name", "source"], "left")
+    return shaped.withColumn("knots", F.when(F.col("k").isNull(), usual).when(flat, F.array(F.lit(1.0), F.lit(1.0))).otherwise(F.col("k"))).drop("k")
+
+
+def integrated(planned: DataFrame) -> DataFrame:
+    """``planned`` with ``sums``: what a source's schedule has come to by each of its knots, 1 at the last."""
+    areas = "transform(sequence(1, size(knots) - 1), i -> (knots[i - 1] + knots[i]) / 2)"
+    sums = F.expr(f"aggregate({areas}, array(0D), (acc, a) -> concat(acc, array(acc[size(acc) - 1] + a)))")
+    return planned.withColumn("sums", sums).withColumn("whole", F.expr("sums[size(sums) - 1]")).withColumn("sums", F.expr("transform(sums, s -> s / whole)"))
 
 
-def short_sources(planned: DataFrame) -> DataFrame:
-    """``(mix_name, source)`` that cannot give their target even at the most repeats."""
-    return planned.where(F.col("target") > F.col("max_repeats") * F.col("supply")).select("mix_name", "source")
+def position(x: str) -> Column:
+    """Where in training, in [0, 1], a source has given the share ``x`` of what it owes: the inverse of its integrated schedule. An expression over ``knots, sums, whole`` of :func:`integrated`."""
+    piece = f"least(size(filter(sums, s -> s <= {x})), size(knots) - 1)"  # from 1
+    # area into the piece, which is one wide: a u + (b - a) u^2 / 2; its root in a form that holds for a flat piece too
+    at = f"named_struct('i', {piece}, 'y', greatest({x} - sums[{piece} - 1], 0D) * whole, 'a', knots[{piece} - 1], 'b', knots[{piece}])"
+    u = "CASE WHEN p.y <= 0 THEN 0D ELSE 2 * p.y / (p.a + sqrt(greatest(p.a * p.a + 2 * (p.b - p.a) * p.y, 0D))) END"
+    return F.expr(f"transform(array({at}), p -> least(1D, (p.i - 1 + least({u}, 1D)) / (size(knots) - 1)))[0]")
 
 
-def position(x: Column, knots: tuple[float, ...]) -> Column:
-    """Where in training, in [0, 1], a source has given the share ``x`` of what it owes: the inverse of its integrated schedule."""
-    step = 1 / (len(knots) - 1)
-    area = [(a + b) / 2 * step for a, b in zip(knots, knots[1:], strict=False)]
-    whole = sum(area)
-    out, before = None, 0.0
-    for i, (a, b) in enumerate(zip(knots, knots[1:], strict=False)):
-        y = (x * whole - before) / step  # area into this piece, the piece being one wide: a u + (b - a) u^2 / 2 = y
-        # the root in a form that holds for a flat piece too
-        u = F.when(y <= 0, 0.0).otherwise(2 * y / (a + F.sqrt(F.greatest(F.lit(a * a) + 2 * (b - a) * y, F.lit(0.0)))))
-        here = (F.lit(float(i)) + u) * step
-        before += area[i]
-        out = here if out is None else F.when(x * whole <= before - area[i], out).otherwise(here)
-    return F.least(out, F.lit(1.0))
+def given_by(t: str) -> Column:
+    """The share of what it owes that a source has given by ``t`` in training, in [0, 1]: its integrated schedule; :func:`position` inverts it."""
+    piece = f"least(CAST(floor({t} * (size(knots) - 1)) AS INT), size(knots) - 2)"
+    u = f"({t} * (size(knots) - 1) - {piece})"
+    return F.expr(f"sums[{piece}] + (knots[{piece}] * {u} + (knots[{piece} + 1] - knots[{piece}]) * {u} * {u} / 2) / whole")
 
 
 def mix(documents: DataFrame, planned: DataFrame) -> DataFrame:
@@ -84,7 +107,7 @@ def mix(documents: DataFrame, planned: DataFrame) -> DataFrame:
     ``max_repeats``. The document in which the grant ends is the last one.
     """
     spark = documents.sparkSession
-    targets = planned.where((F.col("granted") > 0) & (F.col("supply") > 0))
+    targets = materialize(integrated(planned.where((F.col("granted") > 0) & (F.col("supply") > 0))), "targets")
     if targets.limit(MOST_TARGETS + 1).count() > MOST_TARGETS:
         raise ValueError(f"more than {MOST_TARGETS} mix targets")
     wanted = documents.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
@@ -100,12 +123,42 @@ def mix(documents: DataFrame, planned: DataFrame) -> DataFrame:
     passes = F.least(F.ceil((F.col("granted") - F.col("offset")) / F.col("supply")), F.col("max_repeats")).cast("int")
     rows = rows.withColumn("passes", passes).where("passes > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
     given = (F.col("pass") * F.col("supply") + F.col("offset")) / F.col("granted")
-    at = F.when(F.col("max_repeats") > 1, position(given, REPEATED)).otherwise(position(given, ONCE))
-    out = rows.select("mix_name", at.alias("position"), "source", "doc_id", "pass", "tokens")
+    out = rows.withColumn("given", given).select("mix_name", position("given").alias("position"), "source", "doc_id", "pass", "tokens")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return out.repartitionByRange(parts, "mix_name", "position", "doc_id").sortWithinPartitions("mix_name", "position", "doc_id")
 
 
+def short_sources(mixed: DataFrame, planned: DataFrame) -> DataFrame:
+    """``(mix_name, source)`` that have given less than their target in a mix, although they gave all that they may."""
+    got = mixed.groupBy("mix_name", "source").agg(F.sum("tokens").alias("got"))
+    return planned.join(got, ["mix_name", "source"], "left").where("coalesce(got, 0) < target").select("mix_name", "source")
+
+
+def composition(mixed: DataFrame, planned: DataFrame, parts: int = 10) -> DataFrame:
+    """``(mix_name, source, part, tokens, wanted, largest)``: what each of equal parts of training holds of a source, and what its schedule wants there; they differ by less than two documents."""
+    held = mixed.groupBy("mix_name", "source", F.least(F.floor(F.col("position") * parts), F.lit(parts - 1)).cast("int").alias("part")).agg(F.sum("tokens").alias("tokens"), F.max("tokens").alias("largest"))
+    wide = integrated(planned.where("granted > 0 AND supply > 0")).selectExpr("*", f"explode(sequence(0, {parts - 1})) AS part").withColumns({"lo": F.col("part") / parts, "hi": (F.col("part") + 1) / parts})
+    wanted = wide.select("mix_name", "source", "part", ((given_by("hi") - given_by("lo")) * F.col("granted")).alias("wanted"))
+    both = wanted.join(held, ["mix_name", "source", "part"], "left")
+    most = F.max("largest").over(Window.partitionBy("mix_name", "source"))
+    return both.select("mix_name", "source", "part", F.coalesce("tokens", F.lit(0)).alias("tokens"), "wanted", F.coalesce(most, F.lit(0)).alias("largest"))
+
+
+def checks(mixed: DataFrame, planned: DataFrame) -> DataFrame:
+    """``(mix_name, source, target_tokens, all_given, reached, within_repeats, follows)`` of a mix.
+
+    ``all_given``: the tokens of a source that can't give its target, NULL for others, for which ``reached`` tells whether
+    they have given it, and no more than the last document beyond; ``follows``: whether each tenth of training holds what the schedule wants, but for two documents.
+    """
+    got = mixed.groupBy("mix_name", "source").agg(F.sum("tokens").alias("got"), F.max("tokens").alias("largest"), (F.max("pass") + 1).alias("passes"))
+    course = composition(mixed, planned).groupBy("mix_name", "source").agg(F.bool_and(F.abs(F.col("tokens") - F.col("wanted")) <= 2 * F.col("largest") + 1).alias("follows"))
+    both = planned.join(got, ["mix_name", "source"], "left").join(course, ["mix_name", "source"], "left")
+    return both.selectExpr(
+        "mix_name", "source", "round(target, 3) AS target_tokens", "CASE WHEN granted < target THEN coalesce(got, 0) END AS all_given",
+        "granted < target OR (coalesce(got, 0) >= target AND coalesce(got, 0) < target + coalesce(largest, 0) + 1) AS reached", "coalesce(passes, 0) <= max_repeats AS within_repeats", "coalesce(follows, true) AS follows",
+    )
+
+
 def shares(mixed: DataFrame, planned: DataFrame) -> DataFrame:
     """``(mix_name, source, target_tokens, actual_tokens, actual_share, most_passes)``: what each source gives in fact."""
     got = mixed.groupBy("mix_name", "source").agg(F.sum("tokens").alias("got"), (F.max("pass") + 1).alias("most_passes"))

@@ -30,9 +30,12 @@ def test_shares_repeats_and_order(spark):
     plan = {(r.mix_name, r.source): r for r in planned.collect()}
     reps = {(m, s): n for m, s, _, n, _ in targets}
     assert {k: round(r.target, 6) for k, r in plan.items()} == {k: round(v, 6) for k, v in want.items()}
-    short = {(r.mix_name, r.source) for r in mixing.short_sources(planned).collect()}
-    assert short == {k for k, v in want.items() if v > reps[k] * size.get(k[1], 0)}
     mixed = mixing.mix(d, planned)
+    short = {(r.mix_name, r.source) for r in mixing.short_sources(mixed, planned).collect()}
+    assert short == {k for k, v in want.items() if v > reps[k] * size.get(k[1], 0)}
+    for r in mixing.checks(mixed, planned).collect():
+        k = r.mix_name, r.source
+        assert (r.reached, r.within_repeats, r.follows, r.all_given) == (True, True, True, reps[k] * size.get(k[1], 0) if k in short else None), k
     rows = mixed.collect()
     for k, v in want.items():
         own = [r for r in rows if (r.mix_name, r.source) == k]
@@ -53,8 +56,9 @@ def test_shares_repeats_and_order(spark):
 
 def test_curriculum_runs_late_or_early(spark):
     for knots, early in ((mixing.ONCE, True), (mixing.REPEATED, False), ((1.0, 1.0), None), ((0.0, 2.0), False), ((2.0, 0.0, 1.0, 3.0), None)):
-        xs = spark.range(0, 1001).select((F.col("id") / 1000).alias("x"))
-        rows = xs.select("x", mixing.position(F.col("x"), knots).alias("t")).orderBy("x").collect()
+        xs = mixing.integrated(spark.range(0, 1001).select((F.col("id") / 1000).alias("x"), F.array(*map(F.lit, knots)).alias("knots")))
+        rows = xs.withColumn("t", mixing.position("x")).withColumn("back", mixing.given_by("t")).orderBy("x").collect()
+        assert all(abs(r.back - r.x) < 1e-6 for r in rows)
         ts = [r.t for r in rows]
         assert ts == sorted(ts) and ts[0] == 0 and abs(ts[-1] - 1) < 1e-9
         n = len(knots) - 1
@@ -76,6 +80,30 @@ def test_a_source_of_copies_and_nothing(spark):
     d, planned = run(spark, [(1, "abcd", "a", None, None)] * 50, [("m", "a", 1.0, 1, 1.0)])
     assert mixing.mix(d, planned).agg(F.sum("tokens")).first()[0] == 200
     d, planned = run(spark, [], [("m", "a", 1.0, 1, 1.0)])
-    assert mixing.mix(d, planned).count() == 0 and mixing.short_sources(planned).count() == 0
+    assert mixing.mix(d, planned).count() == 0 and mixing.short_sources(mixing.mix(d, planned), planned).count() == 0
     d, planned = run(spark, [(1, "abcd", "a", None, None)], [])
     assert mixing.mix(d, planned).count() == 0
+
+
+def test_schedules_as_input(spark):
+    docs = [(i, "x" * 10, "ab"[i % 2], None, None) for i in range(2000)]
+    d = mixing.sized(spark.createDataFrame(docs, DOCS))
+    targets = spark.createDataFrame([("m", "a", 1.0, 1, 0.5), ("m", "b", 1.0, 1, 0.5), ("flat", "a", 1.0, 1, 0.5), ("bad", "a", 1.0, 1, 0.5)], TARGETS)
+    knots = spark.createDataFrame([("m", "a", [1.0, 0.0]), ("m", "b", [0.0, 1.0]), ("flat", "a", [2.0, 2.0, 2.0]), ("bad", "a", [None, -1.0]), ("other", "z", [1.0])], "mix_name string, source string, knots array<double>")
+    planned = mixing.plan(d, targets, knots)
+    got = {(r.mix_name, r.source, r.part): r.tokens for r in mixing.composition(mixing.mix(d, planned), planned, 4).collect()}
+    for part in range(4):  # areas of a falling and a rising line
+        assert abs(got["m", "a", part] - 5000 * (7 - 2 * part) / 16) <= 20 and abs(got["m", "b", part] - 5000 * (1 + 2 * part) / 16) <= 20
+        assert abs(got["flat", "a", part] - 2500) <= 20 and abs(got["bad", "a", part] - 2500) <= 20
+
+
+def test_order_does_not_follow_the_splits(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 3)
+    docs = [(i % 40, "x" * (i % 40), "a", None, None) for i in range(300)]
+    orders = []
+    for parts in (1, 7):
+        d = mixing.sized(spark.createDataFrame(docs, DOCS).repartition(parts))
+        assert d.count() == 300 and d.select("place").distinct().count() == 300
+        planned = mixing.plan(d, spark.createDataFrame([("m", "a", 1.0, 3, 2.2)], TARGETS))
+        orders.append([tuple(r) for r in mixing.mix(d, planned).collect()])
+    assert orders[0] == orders[1]
