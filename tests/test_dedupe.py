@@ -90,3 +90,27 @@ def test_as_a_stream_with_offsets(spark, tmp_path):
         s = dedupe.SeenStore(spark, f"file://{tmp_path}/store", ids, "delivery_id", F.col("__seconds"), dedupe.message_slot())
         s.run(stream)
     assert {r.delivery_id for r in s.copies().collect()} == brute(rows)
+
+
+def test_many_batches_keep_few_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dedupe, "FAN", 3)
+    monkeypatch.setattr(dedupe, "MOST_SLOTS", 2)
+    s, df = store(spark, tmp_path, delay=1.0)
+    rows = some_rows(150, 9)
+    sizes = []
+    for b in range(15):
+        s.process(df(rows[b * 10 : b * 10 + 10]), b)
+        sizes.append(len(s._manifest()["cold"]))
+    assert {r.delivery_id for r in s.copies().collect()} == brute(rows)
+    assert max(sizes) <= 6 and len(s._commits()) == 2
+    kept = {p.name for p in (tmp_path / "s").iterdir() if p.name.startswith("v") and any(p.iterdir())}
+    tables = {x.name for v in kept for x in (tmp_path / "s" / v).iterdir() if x.is_dir()}
+    assert any(t.startswith("level=") for t in tables)
+
+
+def test_nothing_kills_the_stream(spark, tmp_path):
+    s, df = store(spark, tmp_path)
+    rows = [(i, 0, "set", "a", t, 0) for i, t in enumerate([float("nan"), 1e30, -1e30, float("inf"), None, float("nan"), 1e30])]
+    s.process(df(rows[:4]), 0)
+    s.process(df(rows[4:]), 1)
+    assert sorted(r.delivery_id for r in s.copies().collect()) == [5, 6]
