@@ -27,15 +27,19 @@ def json_as_number(value: Column) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """A double as a store prints it, in the fewest digits that tell it from others: plain decimals between 1e-4 and 1e16 with at least one place, else ``1.5e-07``; ``inf``, ``-inf`` and ``nan``; NULL stays NULL. Subnormal numbers show the digits that Java gives them."""
-    text = x.cast("double").cast("string")
+    """A double as a store prints it, in the fewest digits that tell it from others: plain decimals between 1e-4 and 1e16 with at least one place, else ``1.5e-07``; ``inf``, ``-inf`` and ``nan``; NULL stays NULL. Of texts of 16 or 17 digits that read as the same double it may not be the nearest one, as Java gives the digits."""
+    x = x.cast("double")
+    text = x.cast("string")  # of as many digits as Java gives, which older ones make too many
+    for digits in (16, 15):
+        fewer = F.format_string(f"%.{digits - 1}E", x)
+        text = F.when(fewer.try_cast("double") == x, fewer).otherwise(text)
     plain = F.rtrim(text.try_cast("decimal(38,21)").cast("string"), F.lit("0"))  # 17 digits before the point, and all that a double has after it
     plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
     plain = F.when(text.startswith("-") & ~plain.startswith("-"), F.concat(F.lit("-"), plain)).otherwise(plain)  # a negative zero
     power = F.substring_index(text, "E", -1)
-    digits = F.ltrim(power, F.lit("-"))
+    digits = F.ltrim(power, F.lit("+-0"))
     power = F.concat(F.when(power.startswith("-"), "-").otherwise("+"), F.when(F.length(digits) < 2, "0").otherwise(""), digits)
-    far = F.concat(F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", ""), F.lit("e"), power)
+    far = F.concat(F.regexp_replace(F.substring_index(text, "E", 1), r"\.?0+$", ""), F.lit("e"), power)
     size = F.abs(x)
     odd = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
     return F.when(odd.isNotNull(), odd).when((x == 0) | ((size >= 1e-4) & (size < 1e16)), plain).when(x.isNotNull(), far)

@@ -14,9 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerfold.operators.incremental import within
+from ledgerfold.runtime import materialize
+from ledgerfold.sources.oplog import numbered
+
 #: lsns per block.
-BLOCK_BITS = 20
-#: Flushes that one fold takes; each makes the keys after it new ones.
+BLOCK_BITS = 16
+#: Flushes that are told to the tasks as they are; where there are more, commands find theirs by a join.
 MOST_FLUSHES = 1000
 
 
@@ -25,19 +29,27 @@ def _sets() -> Column:
     return F.when(F.col("op").isin("create", "incr", "put"), True).when(F.col("op") == "delete", False)
 
 
-def _prepared(ops: DataFrame, block_bits: int) -> tuple[DataFrame, bool]:
+def _prepared(ops: DataFrame, block_bits: int, flushes: bool = True) -> tuple[DataFrame, bool]:
     made = ["live", "accepted", "live_after", "value_after", "block", "sets", "resets", "adds"]
     ops = ops.drop(*[c for c in made if c in ops.columns])
-    epochs = [r[0] for r in ops.where("op = 'flush'").select("lsn").orderBy("lsn").limit(MOST_FLUSHES + 1).collect()]
-    if len(epochs) > MOST_FLUSHES:
-        raise ValueError(f"more than {MOST_FLUSHES} flushes in one fold; fold the log in parts")
+    epochs = [r[0] for r in ops.where("op = 'flush'").select("lsn").orderBy("lsn").limit(MOST_FLUSHES + 1).collect()] if flushes else []
     known = ops.where(F.col("key").isNotNull() & F.col("op").isin("create", "update", "put", "delete", "incr", "read")).withColumn("value", F.coalesce(F.col("value").cast("double"), F.lit(0.0)))
     if epochs:  # keys of different epochs have nothing to do with each other
-        epoch = F.size(F.filter(F.array(*map(F.lit, epochs)), lambda x: x < F.col("lsn")))
-        known = known.withColumn("key", F.struct(epoch.alias("e"), F.col("key").alias("k")))
+        known = _between_flushes(ops, known, epochs).withColumn("key", F.struct(F.col("__e").alias("e"), F.col("key").alias("k"))).drop("__e")
     return known.withColumn("block", F.shiftright("lsn", block_bits)).withColumn("sets", _sets()), bool(epochs)
 
 
+def _between_flushes(ops: DataFrame, known: DataFrame, epochs: list[int]) -> DataFrame:
+    """``known`` with ``__e``, the number of flushes before a command."""
+    if len(epochs) <= MOST_FLUSHES:
+        return known.withColumn("__e", F.size(F.filter(F.array(*map(F.lit, epochs)), lambda x: x < F.col("lsn"))).cast("long"))
+    lo, hi = ops.agg(F.min("lsn"), F.max("lsn")).first()
+    begins = numbered(ops.where("op = 'flush'").select(F.col("lsn").alias("at")).distinct(), ["at"], "__e").selectExpr("__e", "at + 1 AS lo")
+    begins = materialize(begins.unionByName(ops.sparkSession.range(1).selectExpr("0L AS __e", f"{lo}L AS lo")), "flushes")
+    ends = begins.selectExpr("__e - 1 AS __e", "lo - 1 AS hi")
+    return within(known, "lsn", begins.join(ends, "__e", "left").selectExpr("__e", "lo", f"coalesce(hi, {hi}L) AS hi"), ["__e"])
+
+
 def _in_blocks(known: DataFrame) -> DataFrame:
     """Commands with ``live, accepted``, the ``epoch`` that they are in since the block began, and ``inside``, what the epoch has added up to.
 
@@ -87,14 +99,10 @@ def fold(ops: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
 
 def state(ops: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
     """Live keys ``(key, value, lsn)`` after the log; ``lsn`` is that of the key's last accepted write. Same input as :func:`fold`, but commands are read once."""
-    known, flushed = _prepared(ops, block_bits)
-    if flushed:
-        latest = known.agg(F.max("key.e")).first()[0]
-        last_flush = ops.where("op = 'flush'").agg(F.max("lsn")).first()[0]
-        known = known.where((F.col("key.e") == latest) & (F.col("lsn") > last_flush))
+    last_flush = ops.where("op = 'flush'").agg(F.max("lsn")).first()[0]
+    known, _ = _prepared(ops if last_flush is None else ops.where(F.col("lsn") > last_flush), block_bits, flushes=False)
     last = _per_block(_in_blocks(known)).groupBy("key").agg(F.max_by(F.struct("alive", "ends_at"), "block").alias("s"), F.max("wrote").alias("lsn"))
-    key = F.col("key.k") if flushed else F.col("key")
-    return last.where("s.alive").select(key.alias("key"), F.col("s.ends_at").alias("value"), "lsn")
+    return last.where("s.alive").select("key", F.col("s.ends_at").alias("value"), "lsn")
 
 
 def keyspace_events(folded: DataFrame) -> DataFrame:

@@ -83,8 +83,8 @@ def throughput(log: DataFrame) -> DataFrame:
 
 def cache_counts(lookups: DataFrame, stores: DataFrame) -> DataFrame:
     """``(lookups, hits, misses, stores)`` from lookups with a ``hit`` flag and the stored rows."""
-    seen = lookups.agg(F.count(F.lit(1)).alias("lookups"), F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
-    return seen.withColumn("stores", F.lit(stores.count()).cast("long"))
+    both = lookups.select("hit", F.lit(False).alias("stored")).unionByName(stores.select(F.lit(None).cast("boolean").alias("hit"), F.lit(True).alias("stored")))
+    return both.agg(F.count_if(~F.col("stored")).alias("lookups"), F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.count_if("stored").alias("stores"))
 
 
 def label(text: Column) -> Column:

@@ -43,19 +43,20 @@ class _Bucket:
         return [(route, client, request, False, max(1, math.ceil((1.0 - self.tokens) / rps)))]
 
 
-def limit(log: DataFrame, table: DataFrame) -> DataFrame:
+def limit(log: DataFrame, table: DataFrame, exempt: tuple[str, ...] = ()) -> DataFrame:
     """``(route, client, request_id, allowed, retry_after)`` of each request in order of time.
 
     ``log`` has ``request_id, ts, route`` and ``client`` (may be NULL). A rate or
     burst of 0 or less is no limit. Buckets are per route and, where the policy
-    says so, per client; they start full. Repeated requests count once. Requests
-    without a time are allowed and leave the bucket as it is.
+    says so, per client; they start full. Repeated requests count once, at their earliest. Requests
+    without a time, and those of ``exempt`` routes, are allowed and leave the bucket as it is.
     """
-    rows = policies(log.dropDuplicates(["request_id"]), table).withColumn("route", F.coalesce("route", F.lit("")))
+    once = log.groupBy("request_id").agg(F.min(F.struct(F.col("ts").isNull().alias("late"), "ts", "route", "client")).alias("r")).select("request_id", "r.ts", "r.route", "r.client")
+    rows = policies(once, table).withColumn("route", F.coalesce("route", F.lit("")))
     client = F.when(F.coalesce("per_ip", F.lit(True)), F.coalesce("client", F.lit(""))).otherwise("*")
     now = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     rows = rows.select("route", client.alias("client"), F.col("request_id").cast("long").alias("request_id"), now.alias("now"), F.coalesce("rps", F.lit(0.0)).alias("rps"), F.coalesce("burst", F.lit(0)).alias("burst"))
-    bound = (F.col("rps") > 0) & (F.col("burst") > 0) & F.col("now").isNotNull()
+    bound = (F.col("rps") > 0) & (F.col("burst") > 0) & F.col("now").isNotNull() & ~F.col("route").isin(*exempt)
     free = rows.where(~bound).select("route", "client", "request_id", F.lit(True).alias("allowed"), F.lit(0).alias("retry_after"))
     held = in_order(rows.where(bound), ["route", "client"], ["now", "request_id"], ["route", "client", "request_id", "now", "rps", "burst"], lambda: _Bucket().step, _SCHEMA)
     return held.unionByName(free)

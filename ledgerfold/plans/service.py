@@ -177,7 +177,8 @@ def _policies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _limited(spark: SparkSession, folder: str) -> DataFrame:
-    rows = requests(spark, folder).withColumn("client", F.lit(None).cast("string"))
+    """Requests as fifty clients would make them, so that buckets per client and per route both run."""
+    rows = requests(spark, folder).withColumn("client", F.concat(F.lit("10.0.0."), F.col("request_id") % 50))
     return ratelimit.limit(rows, table(spark, folder, "rate_policy"))
 
 

@@ -26,14 +26,14 @@ class Log:
     def append(self, entries: DataFrame) -> None:
         """Add entries that have their lsn (see :func:`ledgerfold.sources.oplog.numbered`)."""
         rows = entries.select("lsn", F.col("ts").cast("timestamp").alias("ts"), "op", "key", "value", "delta", "ttl")
-        rows.withColumn("segment", F.shiftright("lsn", SEGMENT_BITS)).write.mode("append").partitionBy("segment").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(f"{self.root}/segments")
+        rows.withColumn("segment", F.shiftright("lsn", SEGMENT_BITS)).write.mode("append").partitionBy("segment").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").option("timeZone", "UTC").json(f"{self.root}/segments")
 
     def entries(self, after: int = 0) -> DataFrame:
         """Entries with an lsn above ``after``; segments below are not read. No log, no entries."""
         path = f"{self.root}/segments"
         if not self._files.exists(path):
             return self.spark.createDataFrame([], ENTRY)
-        rows = self.spark.read.schema(ENTRY + ", segment LONG").option("mode", "PERMISSIVE").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
+        rows = self.spark.read.schema(ENTRY + ", segment LONG").option("mode", "PERMISSIVE").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").option("timeZone", "UTC").json(path)
         low = max(after + 1, self.oldest())
         return rows.where((F.col("segment") >= low >> SEGMENT_BITS) & (F.col("lsn") >= low)).drop("segment")
 

@@ -95,6 +95,7 @@ def test_rate_limit(spark):
     got = {r.request_id: (r.allowed, r.retry_after) for r in ratelimit.limit(log, table).collect()}
     assert got == {1: (True, 0), 2: (False, 9), 3: (True, 0), 4: (True, 0), 5: (True, 0), 6: (True, 0), 7: (True, 0)}
     assert ratelimit.limit(log, table.where("false")).where("allowed").count() == 7
+    assert ratelimit.limit(log, table, exempt=("/a",)).where("allowed").count() == 7
     ip = spark.createDataFrame([(" 1.2.3.4 , 5.6.7.8", "9.9.9.9"), ("", "9.9.9.9"), (None, None)], "f string, a string").select(ratelimit.client_ip(F.col("f"), F.col("a")).alias("ip"))
     assert [r.ip for r in ip.collect()] == ["1.2.3.4", "9.9.9.9", ""]
 
@@ -184,6 +185,12 @@ def test_cold_tier(spark, tmp_path):
     got = {r.key: (r.value, r.ttl_remaining) for r in tier.get(keys, F.lit(103.0)).collect()}
     assert got == {"a": ("new", 3.0), "b": ("2", None), "bytes": ("YWJj", None)}
     assert "a" not in {r.key for r in tier.get(keys, F.lit(106.0)).collect()}
+    tier.delete(spark.createDataFrame([("b",), ("never",)], "key string"), F.lit(102.0))
+    assert {r.key for r in tier.get(keys, F.lit(103.0)).collect()} == {"a", "bytes"}
+    tier.put(spark.createDataFrame([("b", "3", None), ("b", "4", None)], "key string, value string, ttl double"), F.lit(104.0))
+    small = tier.compact(f"file://{tmp_path}/u", F.lit(106.0))
+    assert {r.key: r.value for r in small.get(keys, F.lit(106.0)).collect()} == {"b": "4", "bytes": "YWJj"}
+    assert spark.read.parquet(small.path).count() == 2
 
 
 def test_settings(spark):
@@ -217,6 +224,11 @@ def test_numbers_as_text(spark):
     odd = [12345678.5, 0.0005, 1e16, 1e-4, 9.999e-5, 0.0, -0.0, 1.0, -2.5, 1e22, 1.5e-7, 9999999999999998.0, float("inf"), float("-inf"), float("nan"), 2.0**63, 1e300, 2.5e-300, 0.1 + 0.2, None]
     values = odd + [rng.uniform(-1, 1) * 10 ** rng.randrange(-20, 25) for _ in range(500)]
     rows = spark.createDataFrame([(v,) for v in values], "x double").select(text.number_text(F.col("x")), text.reply_integer(F.col("x"))).collect()
-    assert [r[0] for r in rows] == [None if v is None else str(v) for v in values]
+    assert [r[0] for r in rows[:20]] == [None if v is None else str(v) for v in odd]
+    for v, r in zip(values[20:], rows[20:], strict=True):
+        assert float(r[0]) == v and len(r[0]) <= len(str(v)) + 1 and ("e" in r[0]) == ("e" in str(v))
+    short = [round(v, 4) for v in values[20:] if abs(v) < 1e11]
+    texts = spark.createDataFrame([(v,) for v in short], "x double").select(text.number_text(F.col("x"))).collect()
+    assert [r[0] for r in texts] == [str(v) for v in short]
     assert [r[1] for v, r in zip(values, rows, strict=True) if v is not None and abs(v) < 1e22] == [f":{int(v)}\r\n" for v in values if v is not None and abs(v) < 1e22]
     assert rows[14][1].startswith("-ERR") and rows[19][1] is None

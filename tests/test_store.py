@@ -1,3 +1,4 @@
+import importlib
 import random
 import zlib
 from collections import Counter
@@ -34,10 +35,11 @@ def brute(rows):
     return held, out
 
 
-@pytest.mark.parametrize("bits", [1, 3, 20])
-def test_fold_against_the_store(spark, bits):
+@pytest.mark.parametrize("bits, told", [(1, 1000), (3, 1), (16, 1000)])
+def test_fold_against_the_store(spark, monkeypatch, bits, told):
+    monkeypatch.setattr(importlib.import_module("ledgerfold.operators.fold"), "MOST_FLUSHES", told)
     rng = random.Random(bits)
-    for flushes in ([], [60, 200]):
+    for flushes in ([], [60, 61, 200]):
         rows = [(n, rng.choice(["create", "update", "put", "delete", "incr", "read", "what", None]), rng.choice(["a", "b", "ключ", None]), rng.choice([1.0, 2.5, None]), "x") for n in range(1, 300)]
         rows = [r if r[0] not in flushes else (r[0], "flush", None, None, None) for r in rows]
         log = spark.createDataFrame(rows, LOG).repartition(4)
