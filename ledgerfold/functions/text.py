@@ -67,9 +67,13 @@ def reply_error(text: Column) -> Column:
 
 
 def reply_integer(x: Column) -> Column:
-    """Wire reply: a number, fractions cut off, in all its digits; an error where it isn't finite, NULL for NULL."""
-    whole = F.coalesce(F.when(F.abs(x) < 9e18, x.try_cast("long")).cast("string"), x.try_cast("decimal(38,0)").cast("string"), F.format_string("%.0f", x.cast("double")))
-    odd = F.isnan(x.cast("double")) | (F.abs(x) == float("inf"))
+    """Wire reply: a number, fractions cut off, in all its digits up to 1e28 (beyond, in those that Java gives); an error where it isn't finite, NULL for NULL."""
+    x = x.cast("double")
+    high = F.floor(F.abs(x) / 2.0**32).try_cast("long")  # exact, as both halves are
+    low = (F.abs(x) - high.cast("double") * 2.0**32).try_cast("long")
+    wide = F.concat(F.when(x < 0, "-").otherwise(""), (high.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + low.cast("decimal(10,0)")).cast("string"))
+    whole = F.when(F.abs(x) < 9e18, x.try_cast("long").cast("string")).when(F.abs(x) < 1e28, wide).otherwise(F.format_string("%.0f", x))
+    odd = F.isnan(x) | (F.abs(x) == float("inf"))
     return F.when(odd, reply_error(F.lit("ERR value is not an integer or out of range"))).when(x.isNotNull(), F.concat(F.lit(":"), whole, F.lit("\r\n")))
 
 
